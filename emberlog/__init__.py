@@ -5,6 +5,14 @@ an action asks for rows, apart from the few operators whose docstring says
 that they probe or checkpoint.
 """
 
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
 from emberlog.session import build_session, scratch_dir
 
+# Functions sent to executors travel with their code, so that the package need
+# not be installed there.
+register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["build_session", "scratch_dir"]
