@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import fixed_values as fixed
 from emberlog.functions.regex import drop_nulls, fields_of, filled, matches, rewrite, unquoted
+from emberlog.functions.staging import once
 from emberlog.functions.stamps import leading_stamp, stamp_anywhere, stamp_value
 from emberlog.schema import ENTRIES
 
@@ -88,7 +89,7 @@ def parse_logs(lines: DataFrame, *, default_year: int, formats: tuple[str, ...]
     with_json = "json" in formats
     doc = F.when(raw.startswith("{"), F.try_parse_json(raw)) if with_json else F.lit(None).cast("variant")
 
-    staged = lines.withColumns({"_doc": doc, "_f": fields_of(marked)})
+    staged = once(lines, _doc=doc, _f=fields_of(marked))
     field = lambda i: F.get(F.col("_f"), F.lit(i))
     if with_json:
         message_kind = F.coalesce(*[F.schema_of_variant(_json_value(k)) for k in ("message", "msg")], F.lit("STRING"))
@@ -117,7 +118,10 @@ def parse_logs(lines: DataFrame, *, default_year: int, formats: tuple[str, ...]
             stamp_anywhere(raw), leading_stamp(_first_present(["timestamp", "@timestamp", "time"]))))
     )
     staged = staged.withColumns({"_auth": F.coalesce(is_auth, F.lit(False)), "message": message, "_stamp": stamp})
-    staged = staged.withColumn("_a", F.when(F.col("_auth"), auth_fields(F.col("message"))))
+    if "syslog" in formats:
+        staged = once(staged, _a=F.when(F.col("_auth"), auth_fields(F.col("message"))))
+    else:
+        staged = staged.withColumn("_a", F.lit(None).cast("array<string>"))
 
     auth = lambda i: F.when(F.size("_a") > 1, filled(F.get(F.col("_a"), F.lit(i))))
     access = lambda c: F.when(k == "access", c)

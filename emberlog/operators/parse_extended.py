@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import fixed_values as fixed
 from emberlog.functions.regex import ANY_CASE, EXACT, drop_nulls, fields_of, filled, matches, rewrite
+from emberlog.functions.staging import once
 from emberlog.functions.stamps import leading_stamp, stamp_value
 from emberlog.schema import ENTRIES
 
@@ -147,7 +148,7 @@ def parse_extended(lines: DataFrame, *, default_year: int, families: tuple[str,
     value = lambda key: F.try_variant_get(F.col("_doc"), f"$.{key}", "string")
     k = F.col("_k")
 
-    staged = lines.withColumns({"_f": fields_of(marked), "_doc": doc})
+    staged = once(lines, _f=fields_of(marked), _doc=doc)
     staged = staged.withColumn(
         "_k", F.when(F.size("_f") > 1, field(1)).when(F.col("_doc").isNotNull(), "docker"))
     stamp = (
@@ -165,9 +166,8 @@ def parse_extended(lines: DataFrame, *, default_year: int, families: tuple[str,
         "_level": F.when(k == "pg", F.upper(field(7))).when(k == "pg_short", F.upper(field(3)))
                    .when(k == "mysql_error", F.initcap(field(4))),
     })
-    staged = staged.withColumn(
-        "ts", F.when(k == "windows", _windows_time(field(2), field(3)))
-               .otherwise(stamp_value(F.col("_stamp"), default_year)))
+    staged = once(staged, ts=F.when(k == "windows", _windows_time(field(2), field(3))).otherwise(
+        stamp_value(F.col("_stamp"), default_year)))
     entry = F.when(k.isin(_DATED) & F.col("ts").isNull(), F.lit(None))
     wanted = {"docker"} if "docker" in families else set()
     wanted |= {tag for f in families for tag, *_ in _LAYOUTS[f]}
@@ -175,7 +175,7 @@ def parse_extended(lines: DataFrame, *, default_year: int, families: tuple[str,
         if tag in wanted:
             entry = entry.when(k == tag, columns)
     kept = [c for c in lines.columns if c not in ENTRIES.names]
-    staged = staged.withColumn("_e", entry)
+    staged = once(staged, _e=entry)
     known = {"log_file", "line_number", "raw_line", "ts"}
     return staged.select(*[
         F.col(n) if n in known and n in staged.columns
