@@ -118,10 +118,9 @@ def parse_logs(lines: DataFrame, *, default_year: int, formats: tuple[str, ...]
             stamp_anywhere(raw), leading_stamp(_first_present(["timestamp", "@timestamp", "time"]))))
     )
     staged = staged.withColumns({"_auth": F.coalesce(is_auth, F.lit(False)), "message": message, "_stamp": stamp})
-    if "syslog" in formats:
-        staged = once(staged, _a=F.when(F.col("_auth"), auth_fields(F.col("message"))))
-    else:
-        staged = staged.withColumn("_a", F.lit(None).cast("array<string>"))
+    signed = F.when(F.col("_auth"), auth_fields(F.col("message"))) if "syslog" in formats else F.lit(None).cast("array<string>")
+    kept = [c for c in staged.columns if c != "ts"]
+    staged = once(staged.select(*kept), _a=signed, ts=stamp_value(F.col("_stamp"), default_year))
 
     auth = lambda i: F.when(F.size("_a") > 1, filled(F.get(F.col("_a"), F.lit(i))))
     access = lambda c: F.when(k == "access", c)
@@ -162,7 +161,6 @@ def parse_logs(lines: DataFrame, *, default_year: int, formats: tuple[str, ...]
     out = staged.withColumns({
         "log_type": F.when(k == "json", "JSON").when(k == "access", ACCESS).when(k == "error", ERROR)
                      .when(F.col("_auth"), "AUTH").when(k == "syslog", SYSLOG).otherwise("GENERIC"),
-        "ts": stamp_value(F.col("_stamp"), default_year),
         "source_ip": source_ip,
         "user": user,
         "action": F.when(k == "access", F.concat_ws(" ", field(6), field(7))).when(k == "syslog", auth(1)),

@@ -125,7 +125,7 @@ def _chunked(rows: DataFrame, keys: list[str], window_us: int, threshold: int, p
     out_schema = T.StructType([
         T.StructField("source_ip", T.StringType()), T.StructField("chunk", T.IntegerType()),
         T.StructField("states", T.ArrayType(T.IntegerType())), T.StructField("leaving", T.ArrayType(T.IntegerType())),
-        *[rows.schema[c] for c in out_columns]])
+        *[T.StructField(c, rows.schema[c].dataType) for c in out_columns]])
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pdf = left.sort_values(keys, ignore_index=True)

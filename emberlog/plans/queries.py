@@ -175,16 +175,11 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 @query("stream_logs", f"SELECT log_type, count(*) AS lines FROM ({SQL_MIXED}) e GROUP BY log_type")
 def stream_logs(spark, sf_dir):
     """Every landed line reaches the parser exactly once."""
-    lines = live.stream_logs(spark, _as_log_files(spark, landed(spark, sf_dir, "mixed")))
+    lines = live.stream_logs(spark, landed(spark, sf_dir, "mixed"))
     return drained(live.parse_stream(lines, default_year=YEAR).select("log_type")).groupBy("log_type").agg(
         F.count(F.lit(1)).alias("lines"))
 
 
-def _as_log_files(spark: SparkSession, path: str) -> str:
-    """Spark names its text files .txt, which the live source takes."""
-    return path
-
-
 @query("tail_follow", f"SELECT raw_line, count(*) AS lines FROM ({sql_lines('mixed')}) l GROUP BY raw_line")
 def tail_follow(spark, sf_dir):
     """Batches handed to a function that appends them to a table."""
@@ -519,20 +514,20 @@ def _fires_per_ip(rows: str, window_us: int, threshold: int) -> str:
 def live_brute_force(spark, sf_dir):
     """The stream gives what the batch rule gives."""
     return _live_fires(spark, sf_dir, "auth", ("syslog",), lambda e: live.live_brute_force(
-        e, ingest_ts=INGEST, order="event_time", **BRUTE))
+        e, ingest_ts=INGEST, **BRUTE))
 
 
 @query("live_ddos", _fires_per_ip(_numbered(SQL_ACCESS, "log_type = 'WEB_ACCESS'"), DDOS["window_seconds"] * 1_000_000, DDOS["requests"]))
 def live_ddos(spark, sf_dir):
     return _live_fires(spark, sf_dir, "access", ("access",), lambda e: live.live_ddos(
-        e, ingest_ts=INGEST, order="event_time", **DDOS))
+        e, ingest_ts=INGEST, **DDOS))
 
 
 @query("live_api_abuse", _fires_per_ip(_numbered(SQL_ACCESS, "regexp_matches(coalesce(url, ''), '/api/|/v1/|/v2/|/graphql')"),
                                        API["window_seconds"] * 1_000_000 - 1, API["requests"]))
 def live_api_abuse(spark, sf_dir):
     return _live_fires(spark, sf_dir, "access", ("access",), lambda e: live.live_api_abuse(
-        e, ingest_ts=INGEST, order="event_time", **API))
+        e, ingest_ts=INGEST, **API))
 
 
 @query("live_counts")

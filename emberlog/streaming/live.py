@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
@@ -19,21 +19,23 @@ from emberlog.sources.files import clean_line
 from emberlog.sources.sinks import SinkList
 
 LOG_FILES = "*.{log,txt,json}"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_logs(spark: SparkSession, folder: str, *, files_per_trigger: int | None = None) -> DataFrame:
-    """Lines of every new file in a folder, with file and place in it.
+    """Lines of every new file in a folder.
 
     The source takes whole new files: writers put finished files into the folder
-    instead of growing one.
+    instead of growing one. A stream has no line numbers; rules with state go by
+    event time.
     """
     reader = spark.readStream.format("text").option("pathGlobFilter", LOG_FILES)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return reader.load(folder).select(
         F.col("_metadata.file_path").alias("log_file"),
-        (F.col("_metadata.file_block_start") + place).alias("line_number"),
+        F.lit(None).cast("bigint").alias("line_number"),
         clean_line(F.col("value")).alias("raw_line")).filter("raw_line <> ''")
 
 
@@ -56,14 +58,18 @@ def stateless_findings(entries: DataFrame, *, ingest_ts: datetime | str) -> Data
             .unionByName(detect_off_hours(entries, ingest_ts=ingest_ts)))
 
 
-FIRES = "source_ip string, t bigint, log_file string, line_number bigint, count bigint"
+FIRES = "source_ip string, t bigint, log_file string, count bigint"
 
 
 class _ResetWindow(StatefulProcessor):
-    """Held times of one address between batches: at most ``threshold - 1``."""
+    """Held times of one address between batches: at most ``threshold - 1``.
 
-    def __init__(self, window_us: int, threshold: int, keys: list[str]):
-        self.window_us, self.threshold, self.keys = window_us, threshold, keys
+    They are dropped when the watermark has left them behind, so that addresses
+    that fall silent leave no state.
+    """
+
+    def __init__(self, window_us: int, threshold: int):
+        self.window_us, self.threshold = window_us, threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -72,56 +78,59 @@ class _ResetWindow(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         held = [t for (t,) in self.held.get()] if self.held.exists() else []
         # one address of one micro-batch; the source's rate limit bounds it
-        batch = pd.concat(list(rows)).sort_values(self.keys)
+        batch = pd.concat(list(rows)).sort_values(["t", "log_file"])
         fired = []
-        for t, log_file, line_number in batch[["t", "log_file", "line_number"]].itertuples(index=False):
+        for t, log_file in batch[["t", "log_file"]].itertuples(index=False):
             held = [h for h in held if t - h <= self.window_us] + [t]
             if len(held) >= self.threshold:
-                fired.append((key[0], t, log_file, line_number, len(held)))
+                fired.append((key[0], t, log_file, len(held)))
                 held = []
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if held:
             self.held.put([(int(t),) for t in held])
+            self.handle.registerTimer((max(held) + self.window_us) // 1000 + 1)
         else:
             self.held.clear()
-        yield pd.DataFrame(fired, columns=["source_ip", "t", "log_file", "line_number", "count"])
+        yield pd.DataFrame(fired, columns=["source_ip", "t", "log_file", "count"])
 
     def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
         self.held.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        yield pd.DataFrame(columns=["source_ip", "t", "log_file", "line_number", "count"])
+        yield pd.DataFrame(columns=["source_ip", "t", "log_file", "count"])
 
     def close(self) -> None:
         pass
 
 
-def live_reset_window(rows: DataFrame, *, window_us: int, threshold: int, order: str = "file") -> DataFrame:
-    """Fires of a reset-window rule on a stream of ``source_ip``, ``t``, place.
+def live_reset_window(rows: DataFrame, *, window_us: int, threshold: int, late: str = "10 minutes") -> DataFrame:
+    """Fires of a reset-window rule on a stream of ``source_ip``, ``t``, ``log_file``.
 
-    Rows of an address are taken in the given order within a batch, batches in
-    their order of arrival. Needs the RocksDB state store.
+    Rows of an address are taken by event time within a batch, batches in their
+    order of arrival; rows later than ``late`` are left out. Sets the session's
+    state store to RocksDB, which this kind of state needs.
     """
-    keys = {"file": ["log_file", "line_number"], "event_time": ["t", "log_file", "line_number"]}[order]
-    return rows.select("source_ip", "t", "log_file", "line_number").groupBy("source_ip").transformWithStateInPandas(
-        _ResetWindow(window_us, threshold, keys), outputStructType=FIRES, outputMode="append", timeMode="none")
+    rows.sparkSession.conf.set(STATE_STORE, ROCKSDB)
+    timed = rows.select("source_ip", "t", "log_file", F.timestamp_micros("t").alias("at")).withWatermark("at", late)
+    return timed.groupBy("source_ip").transformWithStateInPandas(
+        _ResetWindow(window_us, threshold), outputStructType=FIRES, outputMode="append", timeMode="eventtime")
 
 
 def live_brute_force(entries: DataFrame, *, ingest_ts: datetime | str, attempts: int = 5, window_seconds: int = 300,
-                     order: str = "file") -> DataFrame:
+                     late: str = "10 minutes") -> DataFrame:
     return live_reset_window(failed_logins(entries, ingest_ts=ingest_ts), window_us=window_seconds * SECOND,
-                             threshold=attempts, order=order)
+                             threshold=attempts, late=late)
 
 
 def live_ddos(entries: DataFrame, *, ingest_ts: datetime | str, requests: int = 100, window_seconds: int = 60,
-              order: str = "file") -> DataFrame:
+              late: str = "10 minutes") -> DataFrame:
     return live_reset_window(web_requests(entries, ingest_ts=ingest_ts), window_us=window_seconds * SECOND,
-                             threshold=requests, order=order)
+                             threshold=requests, late=late)
 
 
 def live_api_abuse(entries: DataFrame, *, ingest_ts: datetime | str, requests: int = 50, window_seconds: int = 60,
-                   order: str = "file") -> DataFrame:
+                   late: str = "10 minutes") -> DataFrame:
     return live_reset_window(api_requests(entries, ingest_ts=ingest_ts), window_us=window_seconds * SECOND - 1,
-                             threshold=requests, order=order)
+                             threshold=requests, late=late)
 
 
 def live_counts(findings: DataFrame, *, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
