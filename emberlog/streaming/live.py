@@ -75,7 +75,7 @@ class _ResetWindow(StatefulProcessor):
         self.handle = handle
         self.held = handle.getListState("held", "t bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [t for (t,) in self.held.get()] if self.held.exists() else []
         # one address of one micro-batch; the source's rate limit bounds it
         batch = pd.concat(list(rows)).sort_values(["t", "log_file"])
@@ -94,7 +94,7 @@ class _ResetWindow(StatefulProcessor):
             self.held.clear()
         yield pd.DataFrame(fired, columns=["source_ip", "t", "log_file", "count"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.held.clear()
         yield pd.DataFrame(columns=["source_ip", "t", "log_file", "count"])
 
