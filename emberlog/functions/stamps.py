@@ -18,9 +18,10 @@ def leading_stamp(text: Column) -> Column:
 
 def stamp_anywhere(text: Column) -> Column:
     """The first layout, in the fixed order, that occurs anywhere in the text."""
-    return _single_blanks(F.coalesce(*[
-        filled(F.regexp_extract(text, EXACT + layout, 0)) for layout in TIME_LAYOUTS.values()
-    ]))
+    found = F.coalesce(*[filled(F.regexp_extract(text, EXACT + layout, 0)) for layout in TIME_LAYOUTS.values()])
+    # every layout ends in a clock; most lines without a stamp hold none
+    has_clock = F.contains(text, F.lit(":")) & text.rlike(r"\d{2}:\d{2}:\d{2}")
+    return _single_blanks(F.when(has_clock, found))
 
 
 def _single_blanks(text: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import fixed_values as fixed
-from emberlog.functions.regex import drop_nulls, fields_of, filled, matches, rewrite, unquoted
+from emberlog.functions.literals import any_found_in, case_blind, may_match
+from emberlog.functions.regex import EXACT, drop_nulls, fields_of, filled, rewrite, unquoted
 from emberlog.functions.staging import once
 from emberlog.functions.stamps import leading_stamp, stamp_anywhere, stamp_value
 from emberlog.schema import ENTRIES
@@ -19,24 +20,27 @@ ACCESS, ERROR, SYSLOG = "WEB_ACCESS", "WEB_ERROR", "SYSLOG"
 CORE_FORMATS = ("json", "access", "error", "syslog")
 
 
-def tag_indicators(text: Column, *, strict: bool = False) -> Column:
+def tag_indicators(lowered: Column, *, strict: bool = False) -> Column:
     """Attack categories seen in a text, as an array in the fixed order.
 
-    ``strict`` leaves out the patterns that ordinary traffic matches too.
+    Takes the text from ``case_blind``, best as a column of its own, since every
+    pattern reads it. ``strict`` leaves out the patterns that ordinary traffic
+    matches too.
     """
     tests = []
     for category, patterns in fixed.INDICATORS.items():
         kept = [p for p in patterns if not (strict and p in fixed.NOISY_PATTERNS)]
-        tests.append(F.when(matches(text, kept), F.lit(category)))
+        tests.append(F.when(any_found_in(lowered, kept), F.lit(category)))
     return drop_nulls(F.array(*tests))
 
 
 def auth_fields(message: Column) -> Column:
     """['', pattern name, user, address, command] of a sign-in message."""
-    marked = message
+    marked = F.when(F.lit(False), message)
     for name, (pattern, user, address) in fixed.AUTH_MESSAGES.items():
         command = 2 if name == "sudo" else 0
-        marked = rewrite(marked, name, pattern, (user, address, command))
+        hit = may_match(message, pattern) & message.rlike(EXACT + pattern)
+        marked = marked.when(hit, rewrite(message, name, pattern, (user, address, command)))
     return fields_of(marked)
 
 
@@ -158,6 +162,7 @@ def parse_logs(lines: DataFrame, *, default_year: int, formats: tuple[str, ...]
         source_ip = F.when(k == "json", json_ip).otherwise(source_ip)
         user = F.when(k.isin("json", "generic"), json_user).otherwise(user)
 
+    staged = staged.withColumn("_low", case_blind(looked_at))
     out = staged.withColumns({
         "log_type": F.when(k == "json", "JSON").when(k == "access", ACCESS).when(k == "error", ERROR)
                      .when(F.col("_auth"), "AUTH").when(k == "syslog", SYSLOG).otherwise("GENERIC"),
@@ -167,7 +172,7 @@ def parse_logs(lines: DataFrame, *, default_year: int, formats: tuple[str, ...]
         "status": status,
         "target": access(field(7)),
         "severity": F.lit(None).cast("string"),
-        "attack_indicators": tag_indicators(looked_at, strict=strict),
+        "attack_indicators": tag_indicators(F.col("_low"), strict=strict),
         "extra": extra,
         "url": url,
         "method": access(field(6)),

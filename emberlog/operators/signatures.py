@@ -8,26 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import fixed_values as fixed
-from emberlog.functions.regex import drop_nulls, filled, matches
+from emberlog.functions.literals import any_found_in, case_blind, found_in
+from emberlog.functions.regex import drop_nulls, filled
 from emberlog.functions.scores import risk_score, severity_of
+from emberlog.functions.staging import once
 from emberlog.operators.findings import as_findings
 
 
-def signature_types(text: Column, *, strict: bool = False) -> Column:
-    """Attack categories whose signature the text holds, each at most once."""
+def signature_types(lowered: Column, *, strict: bool = False) -> Column:
+    """Attack categories whose signature a text from ``case_blind`` holds, each once."""
     tests = []
     for category, patterns in fixed.SIGNATURES.items():
         kept = [p for p in patterns if not (strict and p in fixed.NOISY_PATTERNS)]
-        tests.append(F.when(matches(text, kept), F.lit(category)))
+        tests.append(F.when(any_found_in(lowered, kept), F.lit(category)))
     return drop_nulls(F.array(*tests))
 
 
 def detect_signatures(entries: DataFrame, *, ingest_ts: datetime | str, strict: bool = False) -> DataFrame:
     """One finding per category and line. One pass, no shuffle."""
     text = F.concat_ws(" ", "raw_line", filled(F.col("url")))
-    hits = entries.select(
-        "log_file", "line_number", "raw_line", "source_ip", "target", "url", "ts",
-        F.explode(signature_types(text, strict=strict)).alias("type"))
+    columns = ["log_file", "line_number", "raw_line", "source_ip", "target", "url", "ts"]
+    hits = entries.select(*columns, case_blind(text).alias("_low")).select(
+        *columns, F.explode(signature_types(F.col("_low"), strict=strict)).alias("type"))
     return as_findings(hits.select(
         "log_file", "line_number", "source_ip", "type",
         severity_of(F.col("type")).alias("severity"),
@@ -57,9 +59,10 @@ def detect_sensitive_data(entries: DataFrame, *, ingest_ts: datetime | str,
     """The first pattern that a line holds; evidence is cut to 200 characters."""
     patterns = patterns or fixed.SENSITIVE_PATTERNS
     text = F.concat_ws(" ", F.coalesce(filled(F.col("raw_line")), "message"), F.coalesce("url", F.lit("")))
-    first = F.coalesce(*[F.when(matches(text, p), F.lit(i)) for i, p in enumerate(patterns)])
-    rows = entries.select("log_file", "line_number", "raw_line", "source_ip", "target", "ts", first.alias("_i")).filter(
-        "_i is not null")
+    first = F.coalesce(*[F.when(found_in(F.col("_low"), p), F.lit(i)) for i, p in enumerate(patterns)])
+    columns = ["log_file", "line_number", "raw_line", "source_ip", "target", "ts"]
+    lowered = entries.select(*columns, case_blind(text).alias("_low"))
+    rows = once(lowered, _i=first).filter("_i is not null")
     return as_findings(rows.select(
         "log_file", "line_number", "source_ip", "target",
         F.lit("SENSITIVE_DATA_EXPOSURE").alias("type"), F.lit("CRITICAL").alias("severity"),

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.session import spread
+
 DIALECTS = {
     "spark": {
         "$clf$": "date_format(ts, 'dd/MMM/yyyy:HH:mm:ss')",
@@ -150,8 +152,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are parsed, which is the costly part."""
+    return spread(table(spark, sf_dir, name))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return text_table(spark, sf_dir, "events").selectExpr(
         *[f"{written(e, 'spark')} AS {name}" for name, e in EVENT_COLUMNS.items()])
 
 
@@ -164,7 +171,7 @@ def lines(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every document; a document is a file."""
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     return docs.select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("log_file"),
         F.posexplode(F.split("text", "\n")).alias("_p", "_t")).select(
@@ -174,13 +181,13 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each raw page as one entry text with its url."""
-    return table(spark, sf_dir, "pages").select(
+    return text_table(spark, sf_dir, "pages").select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("log_file"),
         F.lit(1).cast("bigint").alias("line_number"), F.col("html").alias("raw_line"), "url")
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(
+    return text_table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("log_file"),
         F.posexplode(F.split("text", "\n")).alias("_p", "_t"), "turn").select(
         "log_file", (F.col("turn") * 100000 + F.col("_p") + 1).cast("bigint").alias("line_number"),

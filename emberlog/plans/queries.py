@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import fixed_values as fixed
+from emberlog.functions.literals import case_blind
 from emberlog.functions.outbound import event_filter, to_cef_line, to_event, to_event_json, to_syslog_line
 from emberlog.functions.scores import risk_score, severity_of, severity_rank
 from emberlog.functions.stamps import clock_text, parse_timestamp
@@ -253,7 +254,8 @@ def parse_timestamp_query(spark, sf_dir):
  FROM ({corpus.SQL_DOCUMENT_LINES}) d""")
 def tag_indicators(spark, sf_dir):
     rows = corpus.document_lines(spark, sf_dir)
-    return rows.select("log_file", "line_number", F.array_join(parse.tag_indicators(F.col("raw_line")), ",").alias("indicators"))
+    lowered = rows.select("log_file", "line_number", case_blind(F.col("raw_line")).alias("low"))
+    return lowered.select("log_file", "line_number", F.array_join(parse.tag_indicators(F.col("low")), ",").alias("indicators"))
 
 
 @query("parse_stats", f"""WITH e AS MATERIALIZED ({SQL_MIXED})

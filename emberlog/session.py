@@ -60,3 +60,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and read it back, partitions unchanged."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a small input comes in fewer pieces than there are cores.
+
+    Parsing costs far more than moving such an input. A large one has more pieces
+    than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
