@@ -24,7 +24,6 @@ from emberlog.session import scratch_dir
 
 NODES = "tree int, node int, feature int, cut double, left int, right int, depth double"
 MIN_ROWS = 20
-_TOP = float(2 ** 63)
 
 
 @dataclass
@@ -76,7 +75,7 @@ def _draw(features: DataFrame, keys: list[str], n: int, trees: int, sample_size:
     # Wide enough that a tree misses its size only with negligible chance; the
     # surplus is cut inside the tree's own small group.
     share = min(1.0, (size + 6 * math.sqrt(size) + 16) / n)
-    bound = F.lit(int(min(share * _TOP, _TOP - 1)))
+    bound = F.lit(2 ** 63 - 1 if share >= 1 else int(share * 2 ** 62) * 2)
     drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _hash(keys, seed, t) <= bound)
     rows = features.select(*keys, *FEATURES, F.explode(drawn).alias("tree"))
     return rows.withColumn("_place", _hash(keys, seed, F.col("tree")))
