@@ -9,7 +9,7 @@ keeps the pattern the only thing to maintain.
 from __future__ import annotations
 
 import re
-from functools import lru_cache, reduce
+from functools import lru_cache
 from re import _constants as op
 from re import _parser as reader
 
@@ -98,14 +98,22 @@ def pieces(pattern: str) -> tuple[tuple[tuple[str, ...], ...], tuple[str, ...] |
     return tuple(tuple(sorted(s)) for s in needed), tuple(sorted(whole)) if whole else None
 
 
-def _one_of(text: Column, options: tuple[str, ...]) -> Column:
-    return reduce(Column.__or__, [F.contains(text, F.lit(o)) for o in options])
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def may_match(text: Column, pattern: str) -> Column | None:
-    """Cheap test that is true wherever the pattern matches; None if there is none."""
+def _one_of(column: str, options: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({column}, {_quoted(o)})" for o in options) + ")"
+
+
+def _guard(column: str, pattern: str) -> str | None:
     needed, _ = pieces(pattern)
-    return reduce(Column.__and__, [_one_of(text, s) for s in needed]) if needed else None
+    return " AND ".join(_one_of(column, s) for s in needed) if needed else None
+
+
+def may_match(column: str, pattern: str) -> Column:
+    """Cheap test that is true wherever the pattern matches."""
+    return F.expr(_guard(column, pattern) or "true")
 
 
 def alternatives(pattern: str) -> list[str]:
@@ -136,27 +144,39 @@ def alternatives(pattern: str) -> list[str]:
     return [pattern]
 
 
-def found_in(lowered: Column, pattern: str) -> Column:
-    """Whether a lower-cased text holds a match of a case-blind pattern."""
+def _found(column: str, pattern: str) -> str:
     if re.search(r"\\[A-Z]", pattern):
         raise ValueError(f"cannot lower the case of {pattern}")
     pattern = pattern.lower()
     needed, whole = pieces(pattern)
     if whole:
-        exact = _one_of(lowered, whole)
-        return _one_of(lowered, needed[0]) & exact if needed and len(whole) > 2 else exact
+        exact = _one_of(column, whole)
+        return f"({_one_of(column, needed[0])} AND {exact})" if needed and len(whole) > 2 else exact
     parts = alternatives(pattern)
     if len(parts) > 1:
-        return any_found_in(lowered, parts)
-    run = lowered.rlike("(?d)" + pattern)
-    guard = may_match(lowered, pattern)
-    return run if guard is None else guard & run
+        return _any_found(column, parts)
+    run = f"{column} RLIKE {_quoted('(?d)' + pattern)}"
+    guard = _guard(column, pattern)
+    return f"({guard} AND {run})" if guard else f"({run})"
 
 
-def any_found_in(lowered: Column, patterns: list[str]) -> Column:
-    """Whether any of the patterns is found; those of fixed text are tried first."""
+def _any_found(column: str, patterns: list[str]) -> str:
     ordered = sorted(patterns, key=lambda p: pieces(p.lower())[1] is None)
-    return reduce(Column.__or__, [found_in(lowered, p) for p in ordered])
+    return "(" + " OR ".join(_found(column, p) for p in ordered) + ")"
+
+
+def found_in(column: str, pattern: str) -> Column:
+    """Whether a lower-cased text column holds a match of a case-blind pattern.
+
+    The test is handed over as one SQL text: it has hundreds of parts, and to
+    build each from Python would take longer than to run them on a small input.
+    """
+    return F.expr(_found(column, pattern))
+
+
+def any_found_in(column: str, patterns: list[str]) -> Column:
+    """Whether any of the patterns is found; those of fixed text are tried first."""
+    return F.expr(_any_found(column, patterns))
 
 
 def case_blind(text: Column) -> Column:

@@ -20,11 +20,10 @@ ACCESS, ERROR, SYSLOG = "WEB_ACCESS", "WEB_ERROR", "SYSLOG"
 CORE_FORMATS = ("json", "access", "error", "syslog")
 
 
-def tag_indicators(lowered: Column, *, strict: bool = False) -> Column:
+def tag_indicators(lowered: str, *, strict: bool = False) -> Column:
     """Attack categories seen in a text, as an array in the fixed order.
 
-    Takes the text from ``case_blind``, best as a column of its own, since every
-    pattern reads it. ``strict`` leaves out the patterns that ordinary traffic
+    Takes the name of a column made by ``case_blind``, since every pattern reads it. ``strict`` leaves out the patterns that ordinary traffic
     matches too.
     """
     tests = []
@@ -34,12 +33,13 @@ def tag_indicators(lowered: Column, *, strict: bool = False) -> Column:
     return drop_nulls(F.array(*tests))
 
 
-def auth_fields(message: Column) -> Column:
+def auth_fields(column: str) -> Column:
     """['', pattern name, user, address, command] of a sign-in message."""
+    message = F.col(column)
     marked = F.when(F.lit(False), message)
     for name, (pattern, user, address) in fixed.AUTH_MESSAGES.items():
         command = 2 if name == "sudo" else 0
-        hit = may_match(message, pattern) & message.rlike(EXACT + pattern)
+        hit = may_match(column, pattern) & message.rlike(EXACT + pattern)
         marked = marked.when(hit, rewrite(message, name, pattern, (user, address, command)))
     return fields_of(marked)
 
@@ -122,7 +122,7 @@ def parse_logs(lines: DataFrame, *, default_year: int, formats: tuple[str, ...]
             stamp_anywhere(raw), leading_stamp(_first_present(["timestamp", "@timestamp", "time"]))))
     )
     staged = staged.withColumns({"_auth": F.coalesce(is_auth, F.lit(False)), "message": message, "_stamp": stamp})
-    signed = F.when(F.col("_auth"), auth_fields(F.col("message"))) if "syslog" in formats else F.lit(None).cast("array<string>")
+    signed = F.when(F.col("_auth"), auth_fields("message")) if "syslog" in formats else F.lit(None).cast("array<string>")
     kept = [c for c in staged.columns if c != "ts"]
     staged = once(staged.select(*kept), _a=signed, ts=stamp_value(F.col("_stamp"), default_year))
 
@@ -172,7 +172,7 @@ def parse_logs(lines: DataFrame, *, default_year: int, formats: tuple[str, ...]
         "status": status,
         "target": access(field(7)),
         "severity": F.lit(None).cast("string"),
-        "attack_indicators": tag_indicators(F.col("_low"), strict=strict),
+        "attack_indicators": tag_indicators("_low", strict=strict),
         "extra": extra,
         "url": url,
         "method": access(field(6)),

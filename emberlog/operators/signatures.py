@@ -15,8 +15,8 @@ from emberlog.functions.staging import once
 from emberlog.operators.findings import as_findings
 
 
-def signature_types(lowered: Column, *, strict: bool = False) -> Column:
-    """Attack categories whose signature a text from ``case_blind`` holds, each once."""
+def signature_types(lowered: str, *, strict: bool = False) -> Column:
+    """Attack categories whose signature a column from ``case_blind`` holds, each once."""
     tests = []
     for category, patterns in fixed.SIGNATURES.items():
         kept = [p for p in patterns if not (strict and p in fixed.NOISY_PATTERNS)]
@@ -29,7 +29,7 @@ def detect_signatures(entries: DataFrame, *, ingest_ts: datetime | str, strict:
     text = F.concat_ws(" ", "raw_line", filled(F.col("url")))
     columns = ["log_file", "line_number", "raw_line", "source_ip", "target", "url", "ts"]
     hits = entries.select(*columns, case_blind(text).alias("_low")).select(
-        *columns, F.explode(signature_types(F.col("_low"), strict=strict)).alias("type"))
+        *columns, F.explode(signature_types("_low", strict=strict)).alias("type"))
     return as_findings(hits.select(
         "log_file", "line_number", "source_ip", "type",
         severity_of(F.col("type")).alias("severity"),
@@ -59,7 +59,7 @@ def detect_sensitive_data(entries: DataFrame, *, ingest_ts: datetime | str,
     """The first pattern that a line holds; evidence is cut to 200 characters."""
     patterns = patterns or fixed.SENSITIVE_PATTERNS
     text = F.concat_ws(" ", F.coalesce(filled(F.col("raw_line")), "message"), F.coalesce("url", F.lit("")))
-    first = F.coalesce(*[F.when(found_in(F.col("_low"), p), F.lit(i)) for i, p in enumerate(patterns)])
+    first = F.coalesce(*[F.when(found_in("_low", p), F.lit(i)) for i, p in enumerate(patterns)])
     columns = ["log_file", "line_number", "raw_line", "source_ip", "target", "ts"]
     lowered = entries.select(*columns, case_blind(text).alias("_low"))
     rows = once(lowered, _i=first).filter("_i is not null")

@@ -255,7 +255,7 @@ def parse_timestamp_query(spark, sf_dir):
 def tag_indicators(spark, sf_dir):
     rows = corpus.document_lines(spark, sf_dir)
     lowered = rows.select("log_file", "line_number", case_blind(F.col("raw_line")).alias("low"))
-    return lowered.select("log_file", "line_number", F.array_join(parse.tag_indicators(F.col("low")), ",").alias("indicators"))
+    return lowered.select("log_file", "line_number", F.array_join(parse.tag_indicators("low"), ",").alias("indicators"))
 
 
 @query("parse_stats", f"""WITH e AS MATERIALIZED ({SQL_MIXED})
