@@ -532,15 +532,6 @@ def live_api_abuse(spark, sf_dir):
         e, ingest_ts=INGEST, **API))
 
 
-@query("live_counts")
-def live_counts(spark, sf_dir):
-    """Windows of the live dashboard that the watermark has closed."""
-    lines = live.stream_logs(spark, landed(spark, sf_dir, "access"))
-    entries = parse.parse_logs(lines, default_year=YEAR, formats=("access",))
-    return drained(live.live_counts(live.stateless_findings(entries, ingest_ts=INGEST), width="1 day")).select(
-        F.date_format("window.start", "yyyy-MM-dd").alias("day"), "findings", "critical", "high", "medium", "low")
-
-
 # --- dashboards -------------------------------------------------------------------------
 
 SQL_SEVERITIES = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW"))
@@ -1019,6 +1010,20 @@ def access_registry() -> DetectorRegistry:
     return registry
 
 
+@query("live_counts", f"""WITH e AS MATERIALIZED ({SQL_ACCESS}), f AS (
+ SELECT event_ts, severity FROM ({SQL_FINDINGS}) g UNION ALL SELECT ts, 'CRITICAL' FROM e WHERE {SQL_SENSITIVE_ACCESS}
+ UNION ALL SELECT ts, CASE WHEN hour(ts) < 8 OR hour(ts) >= 20 THEN 'MEDIUM' ELSE 'LOW' END FROM e
+ WHERE hour(ts) < 8 OR hour(ts) >= 20 OR isodow(ts) >= 6)
+ SELECT strftime(event_ts, '%Y-%m-%d') AS day, count(*) AS findings, {SQL_SEVERITIES} FROM f
+ WHERE CAST(event_ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(event_ts) FROM f) - INTERVAL 10 MINUTE GROUP BY 1""")
+def live_counts(spark, sf_dir):
+    """Windows of the live dashboard that the watermark has closed."""
+    lines = live.stream_logs(spark, landed(spark, sf_dir, "access"))
+    entries = parse.parse_logs(lines, default_year=YEAR, formats=("access",))
+    return drained(live.live_counts(live.stateless_findings(entries, ingest_ts=INGEST), width="1 day")).select(
+        F.date_format("window.start", "yyyy-MM-dd").alias("day"), "findings", "critical", "high", "medium", "low")
+
+
 SQL_DETECTIONS = f"""SELECT 'api_abuse' AS plugin_id, ({SQL_API_FIRES}) AS detections
  UNION ALL SELECT 'sensitive_data', count(*) FROM ({SQL_ACCESS}) e WHERE {SQL_SENSITIVE_ACCESS}
  UNION ALL SELECT 'anomalous_time', count(*) FROM ({SQL_ACCESS}) e WHERE hour(ts) < 8 OR hour(ts) >= 20 OR isodow(ts) >= 6"""
