@@ -41,16 +41,20 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder reliable checkpoints go to; shared storage on a cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a laptop) is a temporary folder made.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local master may do
+    without: there a temporary folder is made, since every task sees it.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
-    folder = named or tempfile.mkdtemp(prefix="emberlog-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir() or folder
+    if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"{CHECKPOINT_KEY} is not set; on {master} it must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="emberlog-")
+    spark.sparkContext.setCheckpointDir(named)
+    return spark.sparkContext.getCheckpointDir() or named
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -58,12 +62,6 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and read it back, partitions unchanged."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores where a small input comes in fewer pieces than there are cores.
 
