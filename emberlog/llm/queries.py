@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import bench_prefix
+from emberlog.llm import bench_prefix, bpe_count, golay_simhash
 from emberlog.llm.oracle import ORACLE_TEXTS
 from emberlog.llm.rows import read
 from emberlog.session import use_utc
@@ -31,3 +32,15 @@ def op10_benchmark_decontamination(spark, sf_dir):
     """Words of each document that lie in windows of 13 benchmark words."""
     return bench_prefix.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query
+def op6_token_counts(spark, sf_dir):
+    """Bytes and tokens of every text."""
+    return bpe_count.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and component of every document."""
+    return golay_simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
