@@ -19,3 +19,36 @@ items AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS l FROM
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(l), 0) AS BIGINT) AS n_items,
  sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
+SOLID_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_TEXTS["op8_quality_rules"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, {SOLID_WORDS} AS w,
+ list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+wins AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM wins) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(i, i + 7)) AS p FROM twice) GROUP BY r),
+m AS (SELECT r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+ CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+ CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+ len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_echo_words FROM d LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+ CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_length, CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_chars ELSE 0 END AS symbols,
+ CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_lines, CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeats,
+ CASE WHEN n_words > 0 THEN 1000 * n_echo_words // n_words ELSE 0 END AS echoes FROM m),
+v AS (SELECT lang, source, ratio, value AS v FROM b UNPIVOT (value FOR ratio IN (word_length, symbols, dup_lines, repeats, echoes)) WHERE NOT base_failed),
+s AS (SELECT lang, source, ratio, (v >> greatest(0, length(bin(v)) - 7)) << greatest(0, length(bin(v)) - 7) AS bucket FROM v),
+a AS (SELECT lang, source, ratio, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM s GROUP BY ALL),
+bl AS (SELECT lang, ratio, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM s GROUP BY ALL),
+c AS (SELECT ratio, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM s GROUP BY ALL),
+q AS (SELECT a.lang, a.source, a.ratio, CASE WHEN a.n >= 200 THEN a.q1 WHEN bl.n >= 200 THEN bl.q1 ELSE c.q1 END AS q1,
+ CASE WHEN a.n >= 200 THEN a.q3 WHEN bl.n >= 200 THEN bl.q3 ELSE c.q3 END AS q3
+ FROM a JOIN bl ON a.lang IS NOT DISTINCT FROM bl.lang AND a.ratio = bl.ratio JOIN c ON a.ratio = c.ratio),
+f AS (SELECT lang, source, max(CASE WHEN ratio = 'word_length' THEN q1 - 3 * greatest(q3 - q1, 100) END) AS wl,
+ max(CASE WHEN ratio = 'word_length' THEN q3 + 3 * greatest(q3 - q1, 100) END) AS wh, max(CASE WHEN ratio = 'symbols' THEN q3 + 3 * greatest(q3 - q1, 200) END) AS sh,
+ max(CASE WHEN ratio = 'dup_lines' THEN q3 + 3 * greatest(q3 - q1, 200) END) AS dh, max(CASE WHEN ratio = 'repeats' THEN q3 + 3 * greatest(q3 - q1, 100) END) AS rh,
+ max(CASE WHEN ratio = 'echoes' THEN q3 + 3 * greatest(q3 - q1, 100) END) AS eh
+ FROM q GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(
+ word_length >= wl AND word_length <= wh AND symbols <= sh AND dup_lines <= dh AND repeats <= rh AND echoes <= eh, true) AS kept
+FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import bench_prefix, bpe_count, golay_simhash
+from emberlog.llm import bench_prefix, bpe_count, cube_mix, golay_simhash, quality_fences
 from emberlog.llm.oracle import ORACLE_TEXTS
 from emberlog.llm.rows import read
 from emberlog.session import use_utc
@@ -44,3 +44,15 @@ def op6_token_counts(spark, sf_dir):
 def op9_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and component of every document."""
     return golay_simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op8_quality_rules(spark, sf_dir):
+    """Measures of every document and whether it stays within the bounds of its language and source."""
+    return quality_fences.rate(read(spark, sf_dir, "documents")).drop("n_lines", "n_echo_words")
+
+
+@query
+def op2_source_mixing(spark, sf_dir):
+    """Words that the mix takes of every document."""
+    return cube_mix.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
