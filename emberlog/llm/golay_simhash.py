@@ -215,7 +215,8 @@ def groups(docs: DataFrame, *, size: int = SHINGLE, seed: int = SEED, crowd: int
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
     """KEY, doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the component) of every row."""
     found = stored(groups(docs, size=size, seed=seed, crowd=crowd), "groups")
-    lowest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # written, so that neither side of the join is bound to its keys and a large component can be split
+    lowest = stored(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest")
     return found.join(lowest, "root").select(
         *KEY, "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
