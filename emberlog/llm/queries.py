@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import bench_prefix, bpe_count, cube_mix, golay_simhash, quality_fences
+from emberlog.llm import bench_prefix, bpe_count, cube_mix, golay_simhash, line_winnow, quality_fences
 from emberlog.llm.oracle import ORACLE_TEXTS
 from emberlog.llm.rows import read
 from emberlog.session import use_utc
@@ -56,3 +56,9 @@ def op8_quality_rules(spark, sf_dir):
 def op2_source_mixing(spark, sf_dir):
     """Words that the mix takes of every document."""
     return cube_mix.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_line_dedup(spark, sf_dir):
+    """Runs of words of every document that occur earlier in the corpus."""
+    return line_winnow.find_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "spans")
