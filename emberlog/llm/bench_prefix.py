@@ -28,13 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm import ragged
+from emberlog.llm.gram_filter import bit_map, passing_grams
 from emberlog.llm.rows import KEY, located, scan, stored
 
 WINDOW = 13
 SHINGLE = 5
-#: Bits of the map that goes to every task: 8 MB, however large the benchmark. A benchmark
-#: that fills it only lets more shingles through to the join, which decides.
-MAP_BITS = 26
 
 
 def _benchmark_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
@@ -69,40 +67,11 @@ def _benchmark_windows(items: DataFrame, window: int, shingle: int) -> DataFrame
         work, f"item_id {kind}, words string, n int, shingles array<struct<offset:int,code:bigint>>")
 
 
-def _bit_map(codes: DataFrame) -> np.ndarray:
-    """The lowest MAP_BITS of every code, as bits of a fixed array: at most 2^20 numbers come back."""
-    place = F.col("code").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    words = codes.groupBy(F.shiftright(place, 6).alias("at")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, CAST(code & 63 AS INT))")).alias("bits"))
-    found = words.toPandas()
-    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    bits[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return bits.view(np.uint64)
-
-
-def _grams_of(batch_text: pa.Array, sizes: list[int], bits: np.ndarray) -> Iterator[tuple]:
-    """For each block: its rows, bytes, words and, by size, the places and codes that the map lets through."""
-    lower, table = ragged.lower_bytes(), ragged.letter_bytes()
-    data, offsets = ragged.text_bytes(batch_text)
-    for low, high in ragged.blocks(offsets):
-        piece, rows = lower[data[offsets[low]:offsets[high]]], offsets[low:high + 1] - offsets[low]
-        starts, ends, first = ragged.word_bounds(piece, rows, table)
-        codes, stop = ragged.word_hashes(piece, starts, ends), ragged.row_ends(first)
-        found = []
-        for size in sizes:
-            grams = ragged.gram_hashes(codes, size)
-            at = (grams & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
-            passed = (bits[at >> 6] >> (grams & np.uint64(63))) & np.uint64(1)
-            places = np.flatnonzero((passed == 1) & (np.arange(len(grams)) + size <= stop[:len(grams)]))
-            found.append((size, places, grams[places]))
-        yield low, high, piece, starts, ends, first, stop, found
-
-
 def _counts(docs: DataFrame, sizes: list[int], bits) -> DataFrame:
     """How often each code that passes the map occurs in the documents; added up in the task first."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *_, found in _grams_of(batch.column("text"), sizes, bits.value):
+            for *_, found in passing_grams(batch.column("text"), sizes, bits.value):
                 codes, n = np.unique(np.concatenate([x[2] for x in found]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ragged.signed(codes)), pa.array(n)], ["code", "n"])
 
@@ -116,7 +85,7 @@ def _places(docs: DataFrame, sizes: list[int], bits, window: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             n_words, spots = [], []
-            for low, high, piece, starts, ends, first, stop, found in _grams_of(batch.column("text"), sizes, bits.value):
+            for low, high, piece, starts, ends, first, stop, found in passing_grams(batch.column("text"), sizes, bits.value):
                 n_words.append(np.diff(first))
                 own: list[list] = [[] for _ in range(high - low)]
                 for size, places, codes in found:
@@ -139,11 +108,11 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     windows = owners.dropDuplicates(["window_id"]).select("window_id", "words", "n", "shingles")
     members = windows.select("window_id", "words", "n", F.inline("shingles"))
     sizes = sorted(r[0] for r in windows.select(F.least("n", F.lit(shingle)).alias("k")).distinct().collect())
-    seen = _counts(texts, sizes, spark.sparkContext.broadcast(_bit_map(members)))
+    seen = _counts(texts, sizes, spark.sparkContext.broadcast(bit_map(members)))
     ranked = members.join(seen, "code", "left").withColumn("place", F.row_number().over(
         Window.partitionBy("window_id").orderBy(F.coalesce("seen", F.lit(0)), "offset")))
     prefixes = stored(ranked.filter("place = 1 AND seen > 0").select("window_id", F.split("words", " ").alias("wanted"), "n", "offset", "code"), "prefixes")
-    found = stored(_places(texts, sizes, spark.sparkContext.broadcast(_bit_map(prefixes)), window), "places")
+    found = stored(_places(texts, sizes, spark.sparkContext.broadcast(bit_map(prefixes)), window), "places")
     near = found.select(*KEY, F.inline("spots"))
     begin = F.col("ahead") - F.col("offset")
     spans = near.join(prefixes, "code").filter((begin >= 0) & (begin + F.col("n") <= F.size(F.split("words", " ")))).filter(

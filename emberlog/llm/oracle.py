@@ -52,3 +52,34 @@ f AS (SELECT lang, source, max(CASE WHEN ratio = 'word_length' THEN q1 - 3 * gre
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(
  word_length >= wl AND word_length <= wh AND symbols <= sh AND dup_lines <= dh AND repeats <= rh AND echoes <= eh, true) AS kept
 FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source"""
+
+
+def _spans(kind: str, rank: int, pattern: str, good: str) -> str:
+    """Rows (doc row, rank, kind, start, stop) of one kind: what lies between matches gives their places."""
+    size = "list_sum(list_transform({0}, lambda x: length(x)))"
+    return f"""SELECT r, {rank} AS rank, '{kind}' AS kind, start, start + length(x) AS stop FROM (
+ SELECT r, unnest(m) AS x, unnest(list_transform(range(1, len(m) + 1), lambda i: CAST({size.format('s[1:i]')} + coalesce({size.format('m[1:i - 1]')}, 0) AS BIGINT))) AS start
+ FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS s FROM d WHERE regexp_matches(t, '{pattern}'))) WHERE {good}"""
+
+
+def _any_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+_QUOTE = """["'']?"""
+_ASSIGN = f"(?:{_any_case('password|passwd|secret|token|api_?key')}){_QUOTE}\\x20*[:=]\\x20*{_QUOTE}[A-Za-z0-9+/_.=-]+"
+_ASSIGN_HEAD = f"^(?:{_any_case('password|passwd|secret|token|api_?key')}){_QUOTE}\\x20*[:=]\\x20*{_QUOTE}"
+_SECRET_KINDS = [
+    ("assign", _ASSIGN, f"length(regexp_replace(x, '{_ASSIGN_HEAD}', '')) >= 6"), ("access", "AKIA[A-Z0-9]+", "length(x) >= 20"), ("hex", "[0-9a-f]+", "length(x) >= 24"),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"), ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "length(x) >= 30"),
+    ("hosted_token", "gh[oprsu]_[A-Za-z0-9]+", "length(x) >= 40"), ("chat_token", "xox[abprs]-[A-Za-z0-9-]+", "length(x) >= 15"),
+    ("url_login", "[a-z]+://[A-Za-z0-9._-]+:[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", "length(x) >= 8")]
+_ALL_SPANS = " UNION ALL ".join(_spans(k, i, p.replace("[0-9a-f]+", "[0-9a-f]{24,}") if k == "hex" else p, g) for i, (k, p, g) in enumerate(_SECRET_KINDS))
+
+ORACLE_TEXTS["op1_secret_scan"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), s AS ({_ALL_SPANS}),
+l AS (SELECT r, kind, rank, start, kind || ':' || start || ':' || stop AS x FROM s),
+g AS (SELECT r, CAST(count(*) FILTER (kind = 'assign') AS BIGINT) AS a, CAST(count(*) FILTER (kind = 'access') AS BIGINT) AS b, CAST(count(*) FILTER (kind = 'hex') AS BIGINT) AS c,
+ string_agg(x, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(x, ',' ORDER BY start, rank) AS every FROM l GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM d LEFT JOIN g USING (r)"""

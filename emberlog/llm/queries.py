@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberlog.llm import bench_prefix, bpe_count, cube_mix, golay_simhash, line_winnow, quality_fences
+from emberlog.llm import bench_prefix, bpe_count, cube_mix, golay_simhash, license_votes, line_winnow, quality_fences, secret_ledger
 from emberlog.llm.oracle import ORACLE_TEXTS
-from emberlog.llm.rows import read
-from emberlog.session import use_utc
+from emberlog.llm.rows import KEY, read
+from emberlog.session import scratch_dir, use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -62,3 +63,19 @@ def op2_source_mixing(spark, sf_dir):
 def op4_line_dedup(spark, sf_dir):
     """Runs of words of every document that occur earlier in the corpus."""
     return line_winnow.find_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "spans")
+
+
+@query
+def op3_license_scan(spark, sf_dir):
+    """Licence phrases and notices in every document."""
+    return license_votes.find_licenses(read(spark, sf_dir, "documents")).drop(*KEY, "spans")
+
+
+@query
+def op1_secret_scan(spark, sf_dir):
+    """Secrets in every document, through a ledger that starts empty."""
+    found = secret_ledger.scan_incremental(read(spark, sf_dir, "documents"), scratch_dir(spark, "ledger"))
+    base = F.filter("found", lambda s: s["kind"].isin(*secret_ledger.BASE_KINDS))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    return found.select("doc_id", *[count(k) for k in secret_ledger.BASE_KINDS], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
