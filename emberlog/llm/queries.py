@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bench_prefix, bpe_count, cube_mix, golay_simhash, license_votes, line_winnow, quality_fences, secret_ledger
+from emberlog.llm import bench_prefix, bpe_count, cube_mix, golay_simhash, lang_bayes, license_votes, line_winnow, quality_fences, secret_ledger
 from emberlog.llm.oracle import ORACLE_TEXTS
 from emberlog.llm.rows import KEY, read
 from emberlog.session import scratch_dir, use_utc
@@ -79,3 +79,10 @@ def op1_secret_scan(spark, sf_dir):
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
     return found.select("doc_id", *[count(k) for k in secret_ledger.BASE_KINDS], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    """Predicted language of every document, learned from those not held out."""
+    docs = read(spark, sf_dir, "documents")
+    return lang_bayes.identify(docs, docs.filter(~lang_bayes.held_out())).select("doc_id", lang_bayes.held_out().alias("held_out"), "lang_pred", "score")
