@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bench_prefix, bpe_count, cube_mix, golay_simhash, lang_bayes, license_votes, line_winnow, quality_fences, secret_ledger
+from emberlog.llm import bench_prefix, bpe_count, cube_mix, golay_simhash, lang_bayes, license_votes, line_winnow, quality_fences, secret_ledger, toxic_kernel
 from emberlog.llm.oracle import ORACLE_TEXTS
 from emberlog.llm.rows import KEY, read
 from emberlog.session import scratch_dir, use_utc
@@ -86,3 +86,11 @@ def op5_language_id(spark, sf_dir):
     """Predicted language of every document, learned from those not held out."""
     docs = read(spark, sf_dir, "documents")
     return lang_bayes.identify(docs, docs.filter(~lang_bayes.held_out())).select("doc_id", lang_bayes.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from the labels of those not held out."""
+    docs, held_out = read(spark, sf_dir, "documents"), toxic_kernel.held_out()
+    model = toxic_kernel.fit(docs, read(spark, sf_dir, "labels").filter(~held_out))
+    return toxic_kernel.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
