@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import ragged
 from emberlog.llm.gram_filter import bit_map, passing_grams
-from emberlog.llm.rows import KEY, located, scan, stored
+from emberlog.llm.rows import KEY, anchored, chosen_rows, located, scan, stored
 
 WINDOW = 13
 SHINGLE = 5
@@ -140,3 +140,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     return rows.join(covered, [*KEY], "left").join(items, [*KEY], "left").select(
         *KEY, "doc_id", "n_words", hit.alias("n_hit"), (F.size(listed) + F.coalesce("nameless", F.lit(0))).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), ((hit > 0) & (hit * 100 >= words * percent)).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE, percent: int = 5) -> DataFrame:
+    """``docs`` without the contaminated rows."""
+    docs = anchored(docs)
+    found = decontaminate(docs, benchmark, window=window, shingle=shingle, percent=percent)
+    return chosen_rows(docs, stored(found.filter("contaminated").select(*KEY), "contaminated"), "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import ragged
 from emberlog.llm.components import components
-from emberlog.llm.rows import KEY, located, scan, stored
+from emberlog.llm.rows import KEY, anchored, chosen_rows, located, scan, stored
 
 SHINGLE = 3
 SEED = 42
@@ -221,8 +221,9 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, seed: int = SEED, c
         *KEY, "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, *, size: int = SHINGLE, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
-    """KEY of the rows to keep: of each component the first by (doc_id, null last, KEY)."""
+def drop_copies(docs: DataFrame, *, size: int = SHINGLE, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
+    """``docs`` with one row of each component: the first by (doc_id, null last, KEY)."""
+    docs = anchored(docs)
     found = groups(docs, size=size, seed=seed, crowd=crowd)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("first"))
-    return first.select(*[f"first.{k}" for k in KEY])
+    return chosen_rows(docs, stored(first.select(*[f"first.{k}" for k in KEY]), "kept"), "left_semi")

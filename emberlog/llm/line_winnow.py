@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm import ragged
-from emberlog.llm.rows import KEY, located, scan, stored, whole_rows
+from emberlog.llm.rows import KEY, anchored, located, scan, stored, whole_rows
 from emberlog.operators.numbering import number_rows
 
 LINE = 26
@@ -127,6 +127,7 @@ def repeated_runs(docs: DataFrame, *, line: int = LINE, window: int = WINDOW) ->
     """(documents, runs): KEY, doc_id, n_words and rank of every row; rank, start and stop of the merged runs to delete, in words."""
     if window >= line:
         raise ValueError("fingerprints must lie closer than a line is long")
+    docs = anchored(docs, "doc_id", "text")
     marks = stored(_marks(located(docs, "doc_id", "text"), line, window), "marks")
     ranks = stored(number_rows(marks.select(*KEY, "doc_id", "n_words"), F.col("doc_id").asc_nulls_last(), *KEY, name="rank"), "ranks")
     rows, longest = ranks.agg(F.count(F.lit(1)), F.max("n_words")).first()
@@ -213,6 +214,7 @@ def remove_repeats(docs: DataFrame, *, line: int = LINE, window: int = WINDOW) -
             out.append(cut(data, starts, ends, own.as_py()))
         return pa.array(out, pa.string())
 
+    docs = anchored(docs)
     rows, names = whole_rows(docs)
     found = stored(_per_row(docs, line, window).filter("spans IS NOT NULL"), "spans")
     gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["stop"] - s["start"]) >= F.col("n_words")

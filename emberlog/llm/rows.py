@@ -25,19 +25,36 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only filters and projects the rows of files, so that each row has a place of its own."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def anchored(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns (or all) as rows of files: as they are for a scan of files, else written once.
+
+    An operator that names its rows more than once starts with this, so that both names agree.
+    """
+    picked = docs.select(*[docs[c] for c in columns]) if columns else docs
+    return picked if _is_scan(picked) else stored(picked, "rows")
+
+
 def located(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns of ``docs`` with KEY before them.
 
-    A file scan has a place for each row already. Anything else (a frame made in memory,
-    the result of a join) is written once, so that it has one. Only the named columns are
-    taken: other columns, whatever their names, can't get in the way.
+    Only the named columns are taken: other columns, whatever their names, can't get in the way.
     """
     place = (F.xxhash64("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]))
-    picked = [docs[c] for c in columns]
-    try:
-        return docs.select(*place, *picked)
-    except AnalysisException:
-        return stored(docs.select(*picked), "rows").select(*place, *columns)
+    return anchored(docs, *columns).select(*place, *columns)
 
 
 def whole_rows(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -48,6 +65,13 @@ def whole_rows(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return found.toDF(*names, *docs.columns), names
 
 
+def chosen_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` (anchored) whose KEY is among ``keys`` (``left_semi``) or is not (``left_anti``)."""
+    rows, names = whole_rows(docs)
+    picked = keys.select(*[F.col(k).alias(f"of_{k}") for k in KEY])
+    return rows.join(picked, [rows[n] == picked[f"of_{k}"] for n, k in zip(names, KEY, strict=True)], how).select(*[rows[c] for c in docs.columns])
+
+
 def scan(df: DataFrame, added: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], keep: tuple[str, ...]) -> DataFrame:
     """Arrow batches through ``work``; the columns ``keep`` go along as they are.
 
@@ -68,6 +92,3 @@ def scan(df: DataFrame, added: str, work: Callable[[Iterator[pa.RecordBatch]], I
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
-
-def same_row(a: DataFrame, b: DataFrame, columns: tuple[str, ...] = KEY):
-    return [a[c] == b[c] for c in columns]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.rows import KEY, located, stored
+from emberlog.llm.rows import KEY, anchored, located, stored
 
 FOUND = "array<struct<kind:string,rank:int,start:int,stop:int>>"
 
@@ -99,6 +99,7 @@ def read_ledger(spark, folder: str, version: str) -> DataFrame:
 def scan_incremental(docs: DataFrame, folder: str, *, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
     """KEY, doc_id, blob_id and found of every row of ``docs``; the ledger in ``folder`` grows by the unseen blobs."""
     spark = docs.sparkSession
+    docs = anchored(docs, "doc_id", "text")
     rows = located(docs, "doc_id", "text")
     paths = stored(rows.select(*KEY, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob_id")), "paths")
     holder = F.min(F.struct(*KEY)).alias("holder")
