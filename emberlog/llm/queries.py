@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +95,9 @@ def op7_toxicity(spark, sf_dir):
     docs, held_out = read(spark, sf_dir, "documents"), toxic_kernel.held_out()
     model = toxic_kernel.fit(docs, read(spark, sf_dir, "labels").filter(~held_out))
     return toxic_kernel.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
