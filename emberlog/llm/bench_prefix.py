@@ -72,7 +72,7 @@ def _counts(docs: DataFrame, sizes: list[int], bits) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for *_, found in passing_grams(batch.column("text"), sizes, bits.value):
-                codes, n = np.unique(np.concatenate([x[2] for x in found]), return_counts=True)
+                codes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in found)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ragged.signed(codes)), pa.array(n)], ["code", "n"])
 
     return docs.select("text").mapInArrow(work, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("seen"))
