@@ -21,7 +21,8 @@ def as_findings(rows: DataFrame, rule: str, *, ingest_ts: datetime | str) -> Dat
     """Complete rows that carry at least ``type`` and ``severity`` to findings.
 
     A finding without event time takes the ingest time. The id depends only on
-    where the finding is and what it says, so that a repeated run gives it again.
+    where the finding is and what it says, so that a repeated run gives it again;
+    what it says keeps apart the lines of a stream, which have no numbers.
     """
     at = stamp_literal(ingest_ts)
     have = set(rows.columns)
@@ -33,7 +34,8 @@ def as_findings(rows: DataFrame, rule: str, *, ingest_ts: datetime | str) -> Dat
     if "count" not in have:
         new["count"] = F.lit(1)
     rows = conform(rows.withColumns(new), FINDINGS)
-    return rows.withColumn("id", F.xxhash64("log_file", "line_number", "source_ip", "type", "rule"))
+    return rows.withColumn("id", F.xxhash64(
+        "log_file", "line_number", "source_ip", "type", "rule", "event_ts", "target", "detail", "evidence"))
 
 
 def union_findings(*parts: DataFrame) -> DataFrame:
@@ -48,8 +50,8 @@ def order_keys() -> list[Column]:
 def filter_anomalies(findings: DataFrame, *, type: str | None = None, severity: str | None = None,
                      session_id: str | None = None, source_ip: str | None = None,
                      start: datetime | str | None = None, end: datetime | str | None = None,
-                     time_column: str = "detected_ts", limit: int = 100, offset: int = 0) -> DataFrame:
-    """Equality filters and a closed time range, newest first."""
+                     time_column: str = "detected_ts", limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Equality filters and a closed time range, newest first. All rows unless a screen asks for a page of them."""
     for name, wanted in (("type", type), ("severity", severity), ("session_id", session_id), ("source_ip", source_ip)):
         if wanted:
             findings = findings.filter(F.col(name) == wanted)
@@ -58,7 +60,8 @@ def filter_anomalies(findings: DataFrame, *, type: str | None = None, severity:
     if end:
         findings = findings.filter(F.col(time_column) <= stamp_literal(end))
     newest = findings.orderBy(F.col(time_column).desc(), *order_keys())
-    return newest.offset(offset).limit(limit) if offset else newest.limit(limit)
+    page = newest.offset(offset) if offset else newest
+    return page if limit is None else page.limit(limit)
 
 
 def search_anomalies(findings: DataFrame, *, text: str = "", severity: str | None = None,

@@ -154,17 +154,18 @@ def score_isolation_forest(features: DataFrame, model: ForestModel) -> DataFrame
     })
 
 
-def novelty_filter(candidates: DataFrame, rule_findings: DataFrame, *, limit: int = 10) -> DataFrame:
-    """Candidates whose address no rule has found, first ``limit``; a missing address
-    equals a missing address."""
+def novelty_filter(candidates: DataFrame, rule_findings: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Candidates whose address no rule has found, the first ``limit`` or all; a missing
+    address equals a missing address."""
     known = rule_findings.filter(F.col("type") != "ML_DETECTED").select(F.col("source_ip").alias("known_ip")).distinct()
     fresh = candidates.join(known, candidates["source_ip"].eqNullSafe(known["known_ip"]), "left_anti")
-    return fresh.orderBy("log_file", "line_number").limit(limit)
+    return fresh if limit is None else fresh.orderBy("log_file", "line_number").limit(limit)
 
 
 def ml_findings(scored: DataFrame, rule_findings: DataFrame, *, ingest_ts, min_confidence: float = 0.7,
-                limit: int = 10) -> DataFrame:
-    """Findings of a model trained on the same lines: new addresses only."""
+                limit: int | None = None) -> DataFrame:
+    """Findings of a model trained on the same lines: new addresses only. A screen may
+    list the first ``limit``; what is stored is whole."""
     sure = scored.filter(F.col("is_anomaly") & (F.col("confidence") > min_confidence))
     fresh = novelty_filter(sure, rule_findings, limit=limit)
     return as_findings(fresh.select(

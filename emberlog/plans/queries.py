@@ -516,20 +516,20 @@ def _fires_per_ip(rows: str, window_us: int, threshold: int) -> str:
 def live_brute_force(spark, sf_dir):
     """The stream gives what the batch rule gives."""
     return _live_fires(spark, sf_dir, "auth", ("syslog",), lambda e: live.live_brute_force(
-        e, ingest_ts=INGEST, **BRUTE))
+        e, ingest_ts=INGEST, late="10 minutes", **BRUTE))
 
 
 @query("live_ddos", _fires_per_ip(_numbered(SQL_ACCESS, "log_type = 'WEB_ACCESS'"), DDOS["window_seconds"] * 1_000_000, DDOS["requests"]))
 def live_ddos(spark, sf_dir):
     return _live_fires(spark, sf_dir, "access", ("access",), lambda e: live.live_ddos(
-        e, ingest_ts=INGEST, **DDOS))
+        e, ingest_ts=INGEST, late="10 minutes", **DDOS))
 
 
 @query("live_api_abuse", _fires_per_ip(_numbered(SQL_ACCESS, "regexp_matches(coalesce(url, ''), '/api/|/v1/|/v2/|/graphql')"),
                                        API["window_seconds"] * 1_000_000 - 1, API["requests"]))
 def live_api_abuse(spark, sf_dir):
     return _live_fires(spark, sf_dir, "access", ("access",), lambda e: live.live_api_abuse(
-        e, ingest_ts=INGEST, **API))
+        e, ingest_ts=INGEST, late="10 minutes", **API))
 
 
 # --- dashboards -------------------------------------------------------------------------
@@ -762,9 +762,9 @@ def read_correlations(spark, sf_dir):
 
 @query("novelty_filter", f"""SELECT a.line_number, a.source_ip FROM ({SQL_AUTH}) a WHERE NOT EXISTS (
  SELECT 1 FROM (SELECT DISTINCT source_ip FROM ({SQL_FINDINGS}) f WHERE type = 'XXE') k WHERE k.source_ip IS NOT DISTINCT FROM a.source_ip)
- ORDER BY a.log_file, a.line_number LIMIT 10""")
+""")
 def novelty_filter(spark, sf_dir):
-    """First ten sign-in lines of addresses without an XXE finding."""
+    """The sign-in lines of addresses without an XXE finding."""
     known = access_findings(spark, sf_dir).filter("type = 'XXE'")
     return forest.novelty_filter(auth_entries(spark, sf_dir), known).select("line_number", "source_ip")
 
@@ -811,6 +811,14 @@ def types_of_ip(spark, sf_dir):
 
 # --- sinks ------------------------------------------------------------------------------------
 
+@query("read_anomalies", f"""SELECT {SQL_FINDING} FROM ({SQL_FINDINGS}) f
+ WHERE event_ts >= TIMESTAMP '2024-01-05 00:00:00' AND event_ts <= TIMESTAMP '2024-01-09 12:00:00'""")
+def read_anomalies(spark, sf_dir):
+    """Findings written by day and read back for a range of days."""
+    path = stored(access_findings(spark, sf_dir), "anomalies", sinks.write_anomalies)
+    return finding_rows(sinks.read_anomalies(spark, path, start="2024-01-05 00:00:00", end="2024-01-09 12:00:00"))
+
+
 @query("write_anomalies", f"""SELECT strftime(event_ts, '%Y-%m-%d') AS event_date, type, count(*) AS findings, round(sum(score), 4) AS score
  FROM ({SQL_FINDINGS}) f GROUP BY 1, 2""")
 def write_anomalies(spark, sf_dir):
@@ -1020,7 +1028,7 @@ def live_counts(spark, sf_dir):
     """Windows of the live dashboard that the watermark has closed."""
     lines = live.stream_logs(spark, landed(spark, sf_dir, "access"))
     entries = parse.parse_logs(lines, default_year=YEAR, formats=("access",))
-    return drained(live.live_counts(live.stateless_findings(entries, ingest_ts=INGEST), width="1 day")).select(
+    return drained(live.live_counts(live.stateless_findings(entries, ingest_ts=INGEST), late="10 minutes", width="1 day")).select(
         F.date_format("window.start", "yyyy-MM-dd").alias("day"), "findings", "critical", "high", "medium", "low")
 
 
@@ -1168,7 +1176,7 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fit_classifier")
 def fit_classifier(spark, sf_dir):
-    fitted = classifier.fit_classifier(labelled_documents(spark, sf_dir), trees=20)
+    fitted = classifier.fit_classifier(labelled_documents(spark, sf_dir))
     return spark.range(1).select(F.lit(fitted.samples_trained).alias("samples_trained"), F.lit(",".join(fitted.classes)).alias("classes"),
                                  F.lit(fitted.accuracy >= 0.4).alias("learned"))
 
@@ -1176,5 +1184,5 @@ def fit_classifier(spark, sf_dir):
 @query("predict_type")
 def predict_type(spark, sf_dir):
     rows = labelled_documents(spark, sf_dir).withColumn("is_anomaly", F.col("num_special_chars") > 20)
-    fitted = classifier.fit_classifier(rows, trees=20)
+    fitted = classifier.fit_classifier(rows)
     return classifier.predict_type(rows, fitted).groupBy("is_anomaly", "predicted_type").agg(F.count(F.lit(1)).alias("documents"))

@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import fixed_values as fixed
@@ -19,11 +19,24 @@ from emberlog.operators.numbering import number_rows
 
 
 def write_anomalies(findings: DataFrame, path: str, *, mode: str = "append") -> None:
-    """Parquet, one folder per event day, so that time ranges read few files."""
-    dated = findings.withColumn("event_date", F.col("event_ts").cast("date"))
+    """Parquet, one folder per event day, so that time ranges read few files.
+
+    The rows of a day are brought together first, in as many parts as their size asks for.
+    """
+    dated = findings.withColumn("event_date", F.col("event_ts").cast("date")).hint("rebalance", "event_date")
     dated.write.mode(mode).partitionBy("event_date").parquet(path)
 
 
+def read_anomalies(spark: SparkSession, path: str, *, start: datetime | str | None = None, end: datetime | str | None = None) -> DataFrame:
+    """Stored findings with an event time in a closed range; days outside it are not read."""
+    rows = spark.read.parquet(path)
+    if start:
+        rows = rows.filter((F.col("event_date") >= stamp_literal(start).cast("date")) & (F.col("event_ts") >= stamp_literal(start)))
+    if end:
+        rows = rows.filter((F.col("event_date") <= stamp_literal(end).cast("date")) & (F.col("event_ts") <= stamp_literal(end)))
+    return rows.drop("event_date")
+
+
 def timeline_rows(findings: DataFrame) -> DataFrame:
     """What the timeline shows of a finding; the description is cut to 200 characters."""
     return findings.select(
@@ -129,22 +142,22 @@ def export(entries: DataFrame, findings: DataFrame, path: str, format: str = "js
         raise ValueError(f"unknown format: {format}")
 
 
-def sink_jsonl(events: DataFrame, path: str, *, max_records: int = 0, **names: str) -> None:
+def sink_jsonl(events: DataFrame, path: str, *, max_records: int = 0, mode: str = "append", **names: str) -> None:
     """Append events as JSON lines; a new file starts after ``max_records``."""
-    to_event_json(events, **names).write.mode("append").option("maxRecordsPerFile", max_records).text(path)
+    to_event_json(events, **names).write.mode(mode).option("maxRecordsPerFile", max_records).text(path)
 
 
-def sink_text(lines: DataFrame, path: str) -> None:
+def sink_text(lines: DataFrame, path: str, *, mode: str = "append") -> None:
     """Append formatted lines."""
-    lines.select("value").write.mode("append").text(path)
+    lines.select("value").write.mode(mode).text(path)
 
 
 Writer = Callable[[DataFrame, dict], None]
 SINK_TYPES: dict[str, Writer] = {
-    "file": lambda events, c: sink_jsonl(events, c["path"], max_records=c.get("max_records", 0)),
+    "file": lambda events, c: sink_jsonl(events, c["path"], max_records=c.get("max_records", 0), mode=c.get("mode", "append")),
     "syslog_text": lambda events, c: sink_text(
-        to_syslog_line(events, facility=c.get("facility", "LOCAL0"), hostname=c.get("hostname", "-")), c["path"]),
-    "cef_text": lambda events, c: sink_text(to_cef_line(events, escape=c.get("escape", False)), c["path"]),
+        to_syslog_line(events, facility=c.get("facility", "LOCAL0"), hostname=c.get("hostname", "-")), c["path"], mode=c.get("mode", "append")),
+    "cef_text": lambda events, c: sink_text(to_cef_line(events, escape=c.get("escape", False)), c["path"], mode=c.get("mode", "append")),
 }
 
 
@@ -167,19 +180,31 @@ class SinkList:
     def remove(self, name: str) -> None:
         self.sinks = [s for s in self.sinks if s.get("name") != name]
 
-    def fan_out(self, events: DataFrame) -> None:
-        """Write to every sink; a failing sink does not stop the others."""
-        n = events.count()
-        for sink in self.sinks:
-            if not sink.get("enabled", True):
-                self.failed += n
-                continue
-            try:
-                SINK_TYPES[sink.get("type", "file")](events, sink)
-                self.sent += n
-            except Exception as error:
-                print(f"sink {sink.get('name')}: {error}")
-                self.failed += n
+    def fan_out(self, events: DataFrame, *, batch: int | None = None) -> None:
+        """Write to every sink; a failing sink does not stop the others.
+
+        The events are worked out once. With ``batch``, each sink has a folder for it that is
+        written anew, and failures are raised when all sinks were tried.
+        """
+        events, failures = events.persist(), []
+        try:
+            n = events.count()
+            for sink in self.sinks:
+                if not sink.get("enabled", True):
+                    self.failed += n
+                    continue
+                own = sink if batch is None else {**sink, "path": os.path.join(sink["path"], f"batch={batch}"), "mode": "overwrite"}
+                try:
+                    SINK_TYPES[sink.get("type", "file")](events, own)
+                    self.sent += n
+                except Exception as error:
+                    print(f"sink {sink.get('name')}: {error}")
+                    self.failed += n
+                    failures.append(error)
+        finally:
+            events.unpersist()
+        if batch is not None and failures:
+            raise ExceptionGroup("sinks failed", failures)
 
     def stats(self) -> dict:
         return {"events_sent": self.sent, "events_failed": self.failed, "connectors": len(self.sinks)}

@@ -102,38 +102,40 @@ class _ResetWindow(StatefulProcessor):
         pass
 
 
-def live_reset_window(rows: DataFrame, *, window_us: int, threshold: int, late: str = "10 minutes") -> DataFrame:
-    """Fires of a reset-window rule on a stream of ``source_ip``, ``t``, ``log_file``.
+def live_reset_window(rows: DataFrame, *, window_us: int, threshold: int, late: str) -> DataFrame:
+    """Fires of a reset-window rule on a stream of ``source_ip``, ``t``, ``ts``, ``log_file``.
 
     Rows of an address are taken by event time within a batch, batches in their
-    order of arrival; rows later than ``late`` are left out. Sets the session's
-    state store to RocksDB, which this kind of state needs.
+    order of arrival; rows later than ``late``, which the caller must choose, are
+    left out. Only lines with a stamp of their own (``ts``) move the watermark: an
+    undated line counts at the time ``t`` it was given and makes no other line late.
+    Sets the session's state store to RocksDB, which this kind of state needs.
     """
     rows.sparkSession.conf.set(STATE_STORE, ROCKSDB)
-    timed = rows.select("source_ip", "t", "log_file", F.timestamp_micros("t").alias("at")).withWatermark("at", late)
+    timed = rows.select("source_ip", "t", "log_file", F.col("ts").cast("timestamp").alias("at")).withWatermark("at", late)
     return timed.groupBy("source_ip").transformWithStateInPandas(
         _ResetWindow(window_us, threshold), outputStructType=FIRES, outputMode="append", timeMode="eventtime")
 
 
-def live_brute_force(entries: DataFrame, *, ingest_ts: datetime | str, attempts: int = 5, window_seconds: int = 300,
-                     late: str = "10 minutes") -> DataFrame:
+def live_brute_force(entries: DataFrame, *, ingest_ts: datetime | str, late: str, attempts: int = 5,
+                     window_seconds: int = 300) -> DataFrame:
     return live_reset_window(failed_logins(entries, ingest_ts=ingest_ts), window_us=window_seconds * SECOND,
                              threshold=attempts, late=late)
 
 
-def live_ddos(entries: DataFrame, *, ingest_ts: datetime | str, requests: int = 100, window_seconds: int = 60,
-              late: str = "10 minutes") -> DataFrame:
+def live_ddos(entries: DataFrame, *, ingest_ts: datetime | str, late: str, requests: int = 100,
+              window_seconds: int = 60) -> DataFrame:
     return live_reset_window(web_requests(entries, ingest_ts=ingest_ts), window_us=window_seconds * SECOND,
                              threshold=requests, late=late)
 
 
-def live_api_abuse(entries: DataFrame, *, ingest_ts: datetime | str, requests: int = 50, window_seconds: int = 60,
-                   late: str = "10 minutes") -> DataFrame:
+def live_api_abuse(entries: DataFrame, *, ingest_ts: datetime | str, late: str, requests: int = 50,
+                   window_seconds: int = 60) -> DataFrame:
     return live_reset_window(api_requests(entries, ingest_ts=ingest_ts), window_us=window_seconds * SECOND - 1,
                              threshold=requests, late=late)
 
 
-def live_counts(findings: DataFrame, *, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
+def live_counts(findings: DataFrame, *, late: str, width: str = "5 minutes") -> DataFrame:
     """Findings and addresses per window of event time; rows later than ``late`` are left out."""
     timed = findings.withColumn("event_ts", F.col("event_ts").cast("timestamp")).withWatermark("event_ts", late)
     return timed.groupBy(F.window("event_ts", width)).agg(
@@ -142,18 +144,27 @@ def live_counts(findings: DataFrame, *, late: str = "10 minutes", width: str = "
 
 
 def fan_out_stream(findings: DataFrame, sinks: SinkList, *, checkpoint: str) -> DataStreamWriter:
-    """Send the findings of a stream to every sink, batch by batch."""
-    def send(batch: DataFrame, _: int) -> None:
-        sinks.fan_out(to_event(batch))
+    """Send the findings of a stream to every sink, batch by batch.
+
+    A batch has its own folder in each sink, which a replay writes anew. A sink that
+    fails ends the query after the others have their batch, so that the checkpoint
+    does not pass it and a restart sends the batch again.
+    """
+    def send(batch: DataFrame, number: int) -> None:
+        sinks.fan_out(to_event(batch), batch=number)
     return findings.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
 
 
 def on_finding(findings: DataFrame, listeners: list[Callable[[DataFrame], None]], *, checkpoint: str) -> DataStreamWriter:
-    """Call listeners with each batch of findings; one that fails does not stop the rest."""
+    """Call listeners with each batch of findings. All are called; then a failure ends the
+    query, so that the batch comes again after a restart."""
     def call(batch: DataFrame, _: int) -> None:
+        failures = []
         for listener in listeners:
             try:
                 listener(batch)
             except Exception as error:
-                print(f"listener: {error}")
+                failures.append(error)
+        if failures:
+            raise ExceptionGroup("listeners failed", failures)
     return findings.writeStream.foreachBatch(call).option("checkpointLocation", checkpoint)

@@ -136,7 +136,7 @@ def test_stream_in_batches_equals_batch(spark, lines, tmp_path):
     (tmp_path / "ignored.gz").write_text("x")
     stream = live.parse_stream(live.stream_logs(spark, str(tmp_path), files_per_trigger=1), default_year=2024)
     out = scratch_dir(spark, "out")
-    query = (live.live_brute_force(stream, ingest_ts=NOW, attempts=4, window_seconds=100).writeStream.format("parquet")
+    query = (live.live_brute_force(stream, ingest_ts=NOW, late="10 minutes", attempts=4, window_seconds=100).writeStream.format("parquet")
              .option("checkpointLocation", scratch_dir(spark, "checkpoint")).trigger(availableNow=True).start(out))
     query.awaitTermination()
     from emberlog.operators.rates import detect_brute_force
