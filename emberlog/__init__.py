@@ -9,10 +9,10 @@ import sys
 
 from pyspark.cloudpickle import register_pickle_by_value
 
-from emberlog.session import build_session, scratch_dir
+from emberlog.session import build_session, drop_scratch, scratch_dir
 
 # Functions sent to executors travel with their code, so that the package need
 # not be installed there.
 register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["build_session", "scratch_dir"]
+__all__ = ["build_session", "drop_scratch", "scratch_dir"]

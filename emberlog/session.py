@@ -57,9 +57,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or named
 
 
+_scratch: dict[str, list[str]] = {}
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder for written intermediates, on the same shared storage."""
-    return os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediates that this application has written; results that still read them must be done.
+
+    Gives how many folders were there to delete.
+    """
+    conf, dropped = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for folder in _scratch.pop(spark.sparkContext.applicationId, []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        dropped += path.getFileSystem(conf).delete(path, True)
+    return dropped
 
 
 def spread(df: DataFrame) -> DataFrame:
