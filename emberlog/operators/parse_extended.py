@@ -184,6 +184,19 @@ def parse_extended(lines: DataFrame, *, default_year: int, families: tuple[str,
         for n in ENTRIES.names], *kept)
 
 
+def parse_further(entries: DataFrame, *, default_year: int) -> DataFrame:
+    """Entries of the core parser with the further formats in place of ``GENERIC`` where one takes the line.
+
+    Lines with a core layout keep it, also where a further format would fit as well.
+    """
+    core = [F.col(n).alias(f"_core_{n}") for n in ENTRIES.names]
+    others = [c for c in entries.columns if c not in ENTRIES.names]
+    open_lines = F.when(F.col("log_type") == "GENERIC", F.col("raw_line"))
+    again = parse_extended(entries.select("log_file", "line_number", open_lines.alias("raw_line"), *core, *others), default_year=default_year)
+    named = F.col("log_type").isNotNull()
+    return again.select(*[F.when(named, F.col(n)).otherwise(F.col(f"_core_{n}")).alias(n) for n in ENTRIES.names], *others)
+
+
 def _fields(**values: Column) -> Column:
     return F.create_map(*[c for name, value in values.items() for c in (F.lit(name), value.cast("string"))])
 

@@ -14,6 +14,7 @@ from emberlog.operators.features import extract_features
 from emberlog.operators.findings import union_findings
 from emberlog.operators.forest import fit_isolation_forest, ml_findings, score_isolation_forest
 from emberlog.operators.parse import parse_logs
+from emberlog.operators.parse_extended import parse_further
 from emberlog.operators.rates import detect_brute_force, detect_ddos, detect_residual, login_rule
 from emberlog.operators.signatures import detect_signatures, detect_unauthorized
 from emberlog.session import scratch_dir
@@ -40,15 +41,20 @@ def rule_findings(entries: DataFrame, *, ingest_ts: datetime | str, order: str =
 
 def analyse(lines: DataFrame, *, default_year: int, ingest_ts: datetime | str, session_id: str | None = None,
             strict: bool = False, order: str = "file", detectors: DetectorRegistry | None = None,
-            forest: bool = False, contamination: float = 0.15, max_group: int | None = None) -> Analysis:
+            forest: bool = False, contamination: float = 0.15, max_group: int | None = None,
+            extended: bool = True) -> Analysis:
     """Parse once, write the entries, and run everything from the written table.
 
+    ``extended`` reads the further formats too, where no core layout fits a line.
+
     The text is read and parsed a single time; the rules then read only the
     columns they need. The findings are written too, since the correlation and
     every report read them again.
     """
     spark = lines.sparkSession
     entries = _stored(parse_logs(lines, default_year=default_year, strict=strict), scratch_dir(spark, "entries"))
+    if extended:
+        entries = _stored(parse_further(entries, default_year=default_year), scratch_dir(spark, "all-entries"))
     found = rule_findings(entries, ingest_ts=ingest_ts, order=order, strict=strict, max_group=max_group)
     if detectors is not None:
         found = found.unionByName(detectors.run_all(entries, ingest_ts=ingest_ts))

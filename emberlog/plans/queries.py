@@ -279,6 +279,19 @@ def parse_extended_query(spark, sf_dir):
     return ext_rows(parse_extended.parse_extended(corpus.lines(spark, sf_dir, "extended"), default_year=YEAR))
 
 
+_FURTHER = "c.log_type = 'GENERIC' AND e.log_type IS NOT NULL"
+_ONE_OF = ", ".join(f"CASE WHEN {_FURTHER} THEN e.{n} ELSE c.{n} END AS {n}" for n in ("log_type", "source_ip", "status", "target"))
+
+
+@query("parse_further", f"""SELECT c.line_number, {_ONE_OF}, {clock(f'CASE WHEN {_FURTHER} THEN e.ts ELSE c.ts END')} AS ts
+ FROM ({oracle.parsed(sql_lines("extended"))}) c LEFT JOIN ({SQL_EXT}) e USING (line_number)""")
+def parse_further(spark, sf_dir):
+    """Core and further formats in one pass over lines of all kinds."""
+    core = parse.parse_logs(corpus.lines(spark, sf_dir, "extended"), default_year=YEAR)
+    return parse_extended.parse_further(core, default_year=YEAR).select(
+        "line_number", "log_type", "source_ip", "status", "target", clock_text(F.col("ts")).alias("ts"))
+
+
 def _family(name: str, parser, types: list[str]) -> None:
     wanted = ", ".join(lit(t) for t in types)
 
