@@ -11,9 +11,10 @@ neighbouring fingerprints of a run are never further apart than a line is long,
    longest length, plus its place. The first occurrence of a fingerprint is a minimum of addresses.
 2. Each later occurrence is joined to the first (never to all others). Those on one diagonal, with the
    same distance, that touch form runs.
-3. Where a run ends, up to ``window`` words on both sides are compared with those at its source, and
-   the run grows by the equal ones. That is as far as it can go: further on there would be a fingerprint.
-4. The words of the runs are deleted from the later place. Each deleted word has an equal one at a
+3. Runs that touch in the text make an island. At its ends up to ``window`` words are compared with those at
+   the sources of the runs that end there, and the island grows by the equal ones. That is as far as it can go:
+   further on there would be a fingerprint.
+4. The words of the islands are deleted from the later place. Each deleted word has an equal one at a
    smaller address, so the first copy of everything stays.
 
 Nulls: a null text has no words and stays null; null ``doc_id`` come last, in the order of the rows.
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm import ragged
+from emberlog.llm.gram_filter import MAP_BITS, bit_map
 from emberlog.llm.rows import KEY, anchored, located, scan, stored, whole_rows
 from emberlog.operators.numbering import number_rows
 
@@ -123,6 +125,21 @@ def _around(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("rank", "text", "asked").mapInArrow(work, "rank bigint, at bigint, side int, near array<bigint>")
 
 
+def _asked_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the rows that are asked for. A bit map of fixed size keeps most other texts out of the shuffle."""
+    name = F.xxhash64(*KEY).alias("code")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select(name)))
+
+    @F.arrow_udf("boolean")
+    def listed(codes: pa.Array) -> pa.Array:
+        at = codes.to_numpy().view(np.uint64)
+        place = (at & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+        return pa.array((bits.value[place >> 6] >> (at & np.uint64(63))) & np.uint64(1) == 1)
+
+    texts = located(docs, "text").withColumn("code", name)
+    return texts.filter(listed("code")).drop("code").join(wanted, [*KEY])
+
+
 def repeated_runs(docs: DataFrame, *, line: int = LINE, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(documents, runs): KEY, doc_id, n_words and rank of every row; rank, start and stop of the merged runs to delete, in words."""
     if window >= line:
@@ -147,22 +164,29 @@ def repeated_runs(docs: DataFrame, *, line: int = LINE, window: int = WINDOW) ->
     apart = F.coalesce(F.col("at") - F.lag("at").over(diagonal) > line, F.lit(True))
     runs = later.withColumn("shift", F.col("at") - F.col("from_at")).withColumn("opens", apart.cast("int")).withColumn("run", F.sum("opens").over(diagonal)).groupBy(
         "rank", "from_rank", "shift", "run").agg(F.min("at").alias("start"), (F.max("at") + line).alias("stop"))
-    runs = stored(runs.drop("run"), "runs")
-    sides = F.inline(F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("at"), (F.col(c) - F.col("shift")).alias("from_at"))
-                               for side, c in ((-1, "start"), (1, "stop"))]))
-    tips = stored(runs.select("rank", "from_rank", "shift", "start", "stop", sides), "tips")
-    asked = tips.select("rank", "at", "side").union(tips.select("from_rank", "from_at", "side")).distinct().groupBy("rank").agg(
-        F.collect_list(F.struct("at", "side")).alias("asked"))
+    # runs that overlap or touch in the text are one island; only runs that end near its ends can make it grow
+    along = Window.partitionBy("rank").orderBy("start", "stop")
+    fresh = F.coalesce(F.col("start") > F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    island = Window.partitionBy("rank", "island")
+    runs = runs.drop("run").withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(along)).withColumns(
+        {"first": F.min("start").over(island), "last": F.max("stop").over(island)})
+    at_left, at_right = F.col("start") - window < F.col("first"), F.col("stop") + window > F.col("last")
+    runs = stored(runs.filter(at_left | at_right).drop("fresh", "island"), "runs")
+    sides = F.inline(F.filter(F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("at"), (F.col(c) - F.col("shift")).alias("from_at"), near.alias("near"))
+                                        for side, c, near in ((-1, "start", at_left), (1, "stop", at_right))]), lambda tip: tip["near"]))
+    tips = runs.select("rank", "from_rank", sides).drop("near")
+    asked = tips.select("rank", "at", "side").union(tips.select("from_rank", "from_at", "side")).groupBy("rank").agg(
+        F.collect_set(F.struct("at", "side")).alias("asked"))
     wanted = stored(asked.join(ranks.select("rank", *KEY), "rank"), "wanted")
-    near = stored(_around(located(docs, "text").join(wanted, [*KEY]), window), "near")
+    near = stored(_around(_asked_texts(docs, wanted), window), "near")
     there = near.select(F.col("rank").alias("from_rank"), F.col("at").alias("from_at"), "side", F.col("near").alias("there"))
     equal = F.zip_with("near", "there", lambda a, b: F.coalesce(a == b, F.lit(False)))
     differ = F.array_position(equal, F.lit(False))
     more = F.when(differ > 0, differ - 1).otherwise(F.size(equal)).cast("bigint")
-    grown = tips.join(near, ["rank", "at", "side"]).join(there, ["from_rank", "from_at", "side"]).select(
-        "rank", "from_rank", "shift", "start", "stop", (F.col("side") * more).alias("more"))
-    grown = grown.groupBy("rank", "from_rank", "shift", "start", "stop").agg(F.min("more").alias("left"), F.max("more").alias("right")).select(
-        "rank", (F.col("start") + F.least(F.lit(0), "left")).alias("start"), (F.col("stop") + F.greatest(F.lit(0), "right")).alias("stop"))
+    grown = tips.join(near, ["rank", "at", "side"]).join(there, ["from_rank", "from_at", "side"]).select("rank", "at", "side", more.alias("more")).filter("more > 0").select(
+        "rank", F.when(F.col("side") < 0, F.col("at") - F.col("more")).otherwise(F.col("at")).alias("start"),
+        F.when(F.col("side") < 0, F.col("at")).otherwise(F.col("at") + F.col("more")).alias("stop"))
+    grown = runs.select("rank", F.col("first").alias("start"), F.col("last").alias("stop")).union(grown)
     ordered = Window.partitionBy("rank").orderBy("start", "stop")
     opens = F.coalesce(F.col("start") > F.max("stop").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     merged = grown.distinct().withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(ordered)).groupBy("rank", "island").agg(

@@ -16,6 +16,14 @@ from emberlog.session import scratch_dir
 #: same however often a task runs again, also for rows that are equal in every column.
 KEY = ("row_file", "row_at")
 KEY_DDL = "row_file bigint, row_at bigint"
+#: What goes to a Python worker at a time. Texts differ too much in length to count rows.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, so that long texts don't add up in a worker."""
+    for name, value in BATCH_BYTES.items():
+        spark.conf.set(name, value)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -44,6 +52,7 @@ def anchored(docs: DataFrame, *columns: str) -> DataFrame:
 
     An operator that names its rows more than once starts with this, so that both names agree.
     """
+    bound_batches(docs.sparkSession)
     picked = docs.select(*[docs[c] for c in columns]) if columns else docs
     return picked if _is_scan(picked) else stored(picked, "rows")
 
@@ -78,6 +87,7 @@ def scan(df: DataFrame, added: str, work: Callable[[Iterator[pa.RecordBatch]], I
     ``work`` yields for every batch, in turn, the new columns as a dict of Arrow arrays.
     Texts are read whole and don't come back from the workers.
     """
+    bound_batches(df.sparkSession)
     types = dict(df.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in keep), added])
 
