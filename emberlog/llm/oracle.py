@@ -83,3 +83,35 @@ g AS (SELECT r, CAST(count(*) FILTER (kind = 'assign') AS BIGINT) AS a, CAST(cou
  string_agg(x, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(x, ',' ORDER BY start, rank) AS every FROM l GROUP BY r)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
 FROM d LEFT JOIN g USING (r)"""
+
+
+def _license_oracle() -> str:
+    from emberlog.llm.license_votes import GAP, GRAM, LEAST_SHARE, NOTICES, PHRASES, SLACK
+
+    rows = [(i, text, label, str(i < len(PHRASES)).lower()) for i, (text, label) in enumerate([*PHRASES, *NOTICES])]
+    values = ", ".join(f"({i}, '{text}', '{label}', {phrase})" for i, text, label, phrase in rows)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {LETTER_WORDS.format('text')} AS w FROM documents),
+t AS (SELECT template, string_split(text, ' ') AS w, label, phrase FROM (VALUES {values}) v(template, text, label, phrase)),
+tg AS (SELECT template, label, phrase, size, words, pos - 1 AS pos, array_to_string(w[pos:pos + size - 1], ' ') AS g FROM (
+ SELECT *, unnest(generate_series(1, words - size + 1)) AS pos FROM (SELECT *, len(w) AS words, CASE WHEN phrase THEN len(w) ELSE least({GRAM}, len(w)) END AS size FROM t))),
+dg AS (SELECT r, spot - 1 AS spot, size, array_to_string(w[spot:spot + size - 1], ' ') AS g FROM (
+ SELECT r, w, size, unnest(generate_series(1, len(w) - size + 1)) AS spot FROM d, (SELECT DISTINCT size FROM tg) WHERE len(w) >= size)),
+h AS (SELECT * FROM dg JOIN tg USING (size, g)),
+v AS (SELECT r, template, label, phrase, size, words, spot - pos AS diagonal, min(spot) AS start, max(spot + size) AS stop FROM h GROUP BY ALL),
+o AS (SELECT *, CASE WHEN NOT phrase AND abs(diagonal - lag(diagonal) OVER a) <= {SLACK} AND start - lag(stop) OVER a <= {GAP} THEN 0 ELSE 1 END AS opens
+ FROM v WINDOW a AS (PARTITION BY r, template ORDER BY start, diagonal)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY r, template ORDER BY start, diagonal) AS span FROM o),
+p AS (SELECT DISTINCT s.r, s.template, s.span, unnest(generate_series(h.pos, h.pos + h.size - 1)) AS p
+ FROM s JOIN h ON s.r = h.r AND s.template = h.template AND h.spot - h.pos = s.diagonal),
+c AS (SELECT r, template, span, count(*) AS under FROM p GROUP BY ALL),
+m AS (SELECT s.r, s.label, s.phrase, s.span, min(s.start) AS start, any_value(c.under) / any_value(s.words) AS share
+ FROM s JOIN c USING (r, template, span) GROUP BY s.r, s.template, s.label, s.phrase, s.span),
+f AS (SELECT r, count(*) FILTER (phrase) AS n, min(start) FILTER (phrase) AS a, max(start) FILTER (phrase) AS z,
+ string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base, string_agg(DISTINCT label, ',' ORDER BY label) AS every, max(CASE WHEN phrase THEN 0.5::DOUBLE ELSE share END) AS score
+ FROM m WHERE phrase OR share >= {LEAST_SHARE} GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
+ coalesce(base, '') AS base_labels, coalesce(every, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN f USING (r)"""
+
+
+ORACLE_TEXTS["op3_license_scan"] = _license_oracle()
