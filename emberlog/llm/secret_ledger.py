@@ -93,7 +93,7 @@ def read_ledger(spark, folder: str, version: str) -> DataFrame:
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
         return spark.createDataFrame([], schema).drop("rule_version")
-    return spark.read.schema(schema).parquet(folder).filter(F.col("rule_version") == version).dropDuplicates(["blob_id"]).drop("rule_version")
+    return spark.read.schema(schema).parquet(folder).filter(F.col("rule_version") == version).drop("rule_version")
 
 
 def scan_incremental(docs: DataFrame, folder: str, *, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
@@ -107,4 +107,5 @@ def scan_incremental(docs: DataFrame, folder: str, *, rules: tuple[Rule, ...] =
     unseen = stored(unseen.select("blob_id", *[F.col(f"holder.{k}").alias(k) for k in KEY]), "unseen")
     texts = located(docs, "text").join(unseen, [*KEY])
     scan_blobs(texts, rules).withColumn("rule_version", F.lit(version)).write.mode("append").partitionBy("rule_version").parquet(folder)
-    return paths.join(read_ledger(spark, folder, version), "blob_id")
+    # two runs at a time may both have scanned a blob; rows are made distinct after the join, where no key is hot
+    return paths.join(read_ledger(spark, folder, version), "blob_id").dropDuplicates([*KEY])
