@@ -228,9 +228,9 @@ class Kernel:
         _, sample, which = np.unique(codes, return_index=True, return_inverse=True)
         each = np.zeros((len(sample), len(self.landmarks)))
         order = np.argsort(words.lengths[sample], kind="stable")
-        for low in range(0, len(order), 1 << 16):  # words of like length together
-            some = sample[order[low:low + (1 << 16)]]
-            each[order[low:low + (1 << 16)]] = self.against(padded(words.letters, words.starts[some], words.lengths[some]))
+        for low in range(0, len(order), 1 << 14):  # words of like length together
+            some = sample[order[low:low + (1 << 14)]]
+            each[order[low:low + (1 << 14)]] = self.against(padded(words.letters, words.starts[some], words.lengths[some]))
         touched = np.flatnonzero(each.any(axis=1)[which])
         np.maximum.at(found, words.sentence[touched], each[which[touched]])
         return found
