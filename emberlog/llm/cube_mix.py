@@ -110,14 +110,13 @@ def fly(size: np.ndarray, chance: np.ndarray, draw: np.random.Generator, land: b
     return np.array(p)
 
 
-UNIT_DDL = f"{KEY_DDL}, source string, block bigint, size bigint, chance double"
+UNIT_DDL = f"{KEY_DDL}, source string, block bigint, draw bigint, size bigint, chance double"
 
 
 def _flight(seed: int, level: int, last: bool):
     def flight(rows: pd.DataFrame) -> pd.DataFrame:
-        # the order of a block is by a hash of what the rows are, before where they lie
-        code = pd.util.hash_array(rows["size"].to_numpy()) ^ pd.util.hash_array(rows["row_at"].to_numpy())
-        rows = rows.iloc[np.lexsort((rows["row_file"], rows["row_at"], rows["size"], code))]
+        # the order of a block is by a hash of what the rows are; equal rows by where they lie
+        rows = rows.iloc[np.lexsort((rows["row_file"], rows["row_at"], rows["size"], rows["draw"]))]
         source = rows["source"].iloc[0]
         name = [] if source is None else [1, *str(source).encode()]
         draw = np.random.default_rng([seed, level, int(rows["block"].iloc[0]), *name])
@@ -127,7 +126,7 @@ def _flight(seed: int, level: int, last: bool):
 
 
 def decide(units: DataFrame, blocks: int, *, seed: int = SEED) -> DataFrame:
-    """Units (KEY, source, block, size, chance strictly between 0 and 1) to KEY and picked (0 or 1).
+    """Units (KEY, source, block, draw, size, chance strictly between 0 and 1) to KEY and picked (0 or 1).
 
     ``blocks`` is the largest number of blocks that a source has.
     """
@@ -156,7 +155,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
         {"whole": F.floor(rate).cast("bigint"), "chance": rate - F.floor(rate)})
     blocks = F.ceil(F.col("source_rows") / block_rows)
     units = rows.filter(f"size > 0 AND chance > {NEAR} AND chance < 1 - {NEAR}").select(
-        *KEY, "source", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "row_at"), blocks).cast("bigint").alias("block"), "size", "chance")
+        *KEY, "source", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "row_at"), blocks).cast("bigint").alias("block"),
+        F.xxhash64(F.lit(seed), "doc_id", "size").alias("draw"), "size", "chance")
     most_rows = goals.agg(F.max("source_rows")).first()[0] or 0
     picked = decide(units, -(-most_rows // block_rows), seed=seed)
     drawn = F.coalesce("picked", F.when(F.col("chance") >= 1 - NEAR, F.lit(1)), F.lit(0))
