@@ -156,6 +156,17 @@ def read_many(spark, sf_dir):
         F.count(F.lit(1)).alias("lines"))
 
 
+@query("read_many_folders", f"""SELECT e.event_type, log_type, count(*) AS lines FROM ({SQL_MIXED}) l
+ JOIN events e ON e.event_id + 1 = l.line_number GROUP BY e.event_type, log_type""")
+def read_many_folders(spark, sf_dir):
+    """Every folder that was written, as one scan."""
+    path = written_logs(spark, sf_dir)
+    kinds = [r[0] for r in corpus.table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]
+    rows = files.read_many(spark, [os.path.join(path, f"event_type={kind}") for kind in kinds])
+    return parse.parse_logs(rows, default_year=YEAR).groupBy(_folder().alias("event_type"), "log_type").agg(
+        F.count(F.lit(1)).alias("lines"))
+
+
 def landed(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Lines of a corpus as .log files of a folder, the way a live source delivers them."""
     path = scratch_dir(spark, "landing")

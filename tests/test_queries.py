@@ -40,5 +40,12 @@ def test_line_work_only_spreads(spark, name):
     assert text.count("Exchange") == text.count("RoundRobinPartitioning") <= 1
 
 
+def test_every_written_folder_is_read(spark):
+    good, note = compare(spark, SMALL, "read_many_folders")
+    assert good, note
+    kinds = {r["event_type"] for r in entry.queries()["read_many_folders"](spark, SMALL).collect()}
+    assert kinds == {r[0] for r in spark.read.parquet(f"{SMALL}/events.parquet").select("event_type").distinct().collect()} and len(kinds) == 5
+
+
 def test_every_query_is_listed():
     assert set(entry.oracle_sql()) <= set(entry.queries())
