@@ -1188,6 +1188,29 @@ def fit_profile(spark, sf_dir):
     return scored.groupBy("is_anomaly").agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query("fit_profiles", "SELECT * FROM (VALUES " + ", ".join(
+    f"({lit(p)}, CAST({c} AS DOUBLE), (SELECT count(*) FROM events), true)" for p, c in fixed.PROFILES.items())
+    + ") v(profile, contamination, scored, within_share)")
+def fit_profiles(spark, sf_dir):
+    """A forest for every profile. Of the rows scored, its share are outliers within rounding; rows equal to the cut may be either."""
+    return profile_counts(_keyed(mixed_features(spark, sf_dir))).select(
+        "profile", "contamination", "scored",
+        ((F.col("outliers") <= F.ceil(F.col("contamination") * F.col("scored")))
+         & (F.col("at_most_cut") >= F.floor(F.col("contamination") * F.col("scored")))).alias("within_share"))
+
+
+def profile_counts(rows: DataFrame) -> DataFrame:
+    """profile, contamination, rows scored, outliers found, and outliers with the rows equal to the cut, of a forest per profile."""
+    found = None
+    for profile in forest.model_profiles(rows.sparkSession).orderBy("profile").collect():
+        scored = forest.score_isolation_forest(rows, forest.fit_profile(rows, KEYS, profile["profile"]))
+        one = scored.agg(F.count(F.lit(1)).alias("scored"), F.count_if("is_anomaly").alias("outliers"),
+                         F.count_if(F.col("anomaly_score") <= 0).alias("at_most_cut")).select(
+            F.lit(profile["profile"]).alias("profile"), F.lit(profile["contamination"]).alias("contamination"), "scored", "outliers", "at_most_cut")
+        found = one if found is None else found.union(one)
+    return found
+
+
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of every labelled document's text as one entry."""
     docs = corpus.table(spark, sf_dir, "documents").join(corpus.table(spark, sf_dir, "labels"), "doc_id")

@@ -47,5 +47,10 @@ def test_every_written_folder_is_read(spark):
     assert kinds == {r[0] for r in spark.read.parquet(f"{SMALL}/events.parquet").select("event_type").distinct().collect()} and len(kinds) == 5
 
 
+def test_every_profile_is_fitted(spark):
+    good, note = compare(spark, SMALL, "fit_profiles")
+    assert good, note
+
+
 def test_every_query_is_listed():
     assert set(entry.oracle_sql()) <= set(entry.queries())
