@@ -26,10 +26,10 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, value)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` under ``spark.checkpoint.dir`` and read it back: lineage ends here."""
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
