@@ -115,3 +115,34 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 
 
 ORACLE_TEXTS["op3_license_scan"] = _license_oracle()
+
+ORACLE_TEXTS["op11_exact_top_k"] = """
+WITH d AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, o.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, o.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+ FROM d q JOIN d o ON q.r <> o.r AND len(q.v) = len(o.v) WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM k WHERE n <= 5"""
+
+#: CRC-32 of a decimal number, bit by bit.
+CRC32 = """xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+ lambda s, b: list_reduce(generate_series(1, 8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(s, b)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"""
+
+ORACLE_TEXTS["op13_conversation_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+ FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+turns AS (SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+ UNION ALL SELECT conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, count(*) OVER (PARTITION BY conv_id) AS total, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+ sha256(CAST(to_json(list([role, text]) OVER w) AS VARCHAR)) AS node FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)),
+path AS (SELECT *, depth = total AS ends FROM p
+ UNION ALL SELECT conv_id, 0, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM p) FROM c),
+linked AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS above FROM path),
+nodes AS (SELECT node, depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own,
+ sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM linked GROUP BY node, depth),
+children AS (SELECT above AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above),
+pairs AS (SELECT DISTINCT a.node AS node, b.node AS below FROM path a JOIN path b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (SELECT pairs.node, count(*) FILTER (WHERE children.n IS NULL) AS n_leaves, sum(x.own) AS saved FROM pairs JOIN nodes x ON x.node = below LEFT JOIN children ON children.node = below GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(children.n, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes up ON n.depth > 0 AND up.node = n.above LEFT JOIN children ON children.node = n.node JOIN sums ON sums.node = n.node"""

@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bench_prefix, bpe_count, cube_mix, golay_simhash, lang_bayes, license_votes, line_winnow, quality_fences, secret_ledger, toxic_kernel
+from emberlog.llm import (
+    bench_prefix, bpe_count, cube_mix, golay_simhash, lang_bayes, license_votes, line_winnow, prefix_trie, quality_fences, secret_ledger, token_bridge, toxic_kernel,
+    voronoi_topk,
+)
 from emberlog.llm.oracle import ORACLE_TEXTS
 from emberlog.llm.rows import KEY, read
 from emberlog.session import scratch_dir, use_utc
@@ -97,6 +100,24 @@ def op7_toxicity(spark, sf_dir):
     return toxic_kernel.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op11_exact_top_k(spark, sf_dir):
+    """The five vectors with the highest inner product with each fiftieth vector."""
+    return voronoi_topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op12_cross_tokenizer_alignment(spark, sf_dir):
+    """Tokens of two tokenizers in every text, where both cut, and how usual their partners are."""
+    return token_bridge.bridge(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).drop(*KEY)
+
+
+@query
+def op13_conversation_prefix_trie(spark, sf_dir):
+    """All nodes of the trie of rebuilt conversations, with totals of their subtrees."""
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 @query
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline over the documents."""
