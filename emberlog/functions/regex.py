@@ -13,10 +13,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# (?d): only a newline ends a line, so "." also takes \r and U+0085.
-EXACT = "(?d)"
+# (?d): only a newline ends a line, so "." also takes \r and U+0085. (?U): \w, \d, \s and \b know all letters, digits and
+# blanks, not those of ASCII alone.
+EXACT = "(?dU)"
 # (?iu): letters match regardless of case, outside ASCII too.
-ANY_CASE = "(?iud)"
+ANY_CASE = "(?iudU)"
 
 
 def any_of(patterns: Iterable[str], flags: str = ANY_CASE) -> str:

@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import math
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import fixed_values as fixed
-from emberlog.operators.features import FEATURES
+from emberlog.operators.features import FEATURES, extract_features
 from emberlog.operators.findings import as_findings
 from emberlog.operators.quantile import exact_percentile
+from emberlog.operators.signatures import with_line_hits
 from emberlog.session import scratch_dir
 
 NODES = "tree int, node int, feature int, cut double, left int, right int, depth double"
@@ -69,27 +72,47 @@ def _grow(values: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
     return [tuple(n) for n in nodes]
 
 
-def _draw(features: DataFrame, keys: list[str], n: int, trees: int, sample_size: int, seed: int) -> DataFrame:
-    """(tree, features) rows: each tree draws from the whole data by row hash."""
-    size = min(sample_size, n)
-    # Wide enough that a tree misses its size only with negligible chance; the
-    # surplus is cut inside the tree's own small group.
-    share = min(1.0, (size + 6 * math.sqrt(size) + 16) / n)
-    bound = F.lit(2 ** 63 - 1 if share >= 1 else int(share * 2 ** 62) * 2)
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _hash(keys, seed, t) <= bound)
-    rows = features.select(*keys, *FEATURES, F.explode(drawn).alias("tree"))
-    return rows.withColumn("_place", _hash(keys, seed, F.col("tree")))
+DRAWN = "tree int, place bigint, row_hash bigint, " + ", ".join(f"{c} double" for c in FEATURES)
+#: Odd factors of the trees; multiplying by one is a bijection of 64 bits.
+STEP = 0x9E3779B97F4A7C15
+
+
+def tree_places(hashes: np.ndarray, seed: int, tree: int) -> np.ndarray:
+    """The place of each row in the order that a tree draws in, from the row's one hash."""
+    rng = np.random.default_rng([seed, tree, 1])
+    factor = np.uint64(int(rng.integers(0, 1 << 63)) * 2 + 1)
+    return (hashes ^ np.uint64(int(rng.integers(0, 1 << 63)))) * factor * np.uint64(STEP)
+
+
+def _draw(features: DataFrame, keys: list[str], n: int, trees: int, size: int, seed: int, extra: float) -> DataFrame:
+    """(tree, place, features) of at least the ``size`` first rows of every tree, all but surely.
 
+    A tree draws by the order of its places, so the rows that tasks find add up to the same draw however the data is
+    split. Places beyond a bound that ``size`` rows pass by ``extra`` deviations are not sent.
+    """
+    share = min(1.0, (size + extra * math.sqrt(size) + 16) / n)
+    bound = np.uint64((1 << 64) - 1 if share >= 1 else int(share * (1 << 64)))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, found = batch.column("row_hash").to_numpy().view(np.uint64), []
+            for tree in range(trees):
+                places = tree_places(hashes, seed, tree)
+                rows = np.flatnonzero(places <= bound)
+                found.append((np.full(len(rows), tree, np.int32), places[rows], rows))
+            tree, place, rows = (np.concatenate(x) for x in zip(*found, strict=True))
+            signed = (place ^ np.uint64(1 << 63)).view(np.int64)  # in the same order
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(signed), *batch.take(pa.array(rows)).columns], ["tree", "place", *batch.schema.names])
 
-def _hash(keys: list[str], seed: int, tree: Column) -> Column:
-    return F.xxhash64(F.lit(seed), tree, *keys).bitwiseAND(F.lit(2 ** 63 - 1))
+    return features.select(F.xxhash64(F.lit(seed), *keys).alias("row_hash"), *FEATURES).mapInArrow(draw, DRAWN)
 
 
 def fit_isolation_forest(features: DataFrame, keys: list[str], *, contamination: float = 0.1, trees: int = 100,
                          sample_size: int = 256, seed: int = 42) -> ForestModel:
     """Grow the forest and set the cut so that the given share scores as outliers.
 
-    ``keys`` identify a row; draws depend on them and the seed only. Actions: one
+    ``keys`` identify a row; draws depend on them and the seed only. Every tree grows from
+    exactly ``sample_size`` rows (all, if there are fewer). Actions: one
     count, the trees (at most ``trees * 2 * sample_size`` nodes reach the driver),
     and one scoring pass whose scores are written for the exact cut.
     """
@@ -100,13 +123,19 @@ def fit_isolation_forest(features: DataFrame, keys: list[str], *, contamination:
     limit = max(1, math.ceil(math.log2(size)))
 
     def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["_place", *keys]).head(size)[FEATURES].to_numpy(dtype=float)
+        rows = pdf.sort_values(["place", "row_hash"]).head(size)[FEATURES].to_numpy(dtype=float)
         grown = _grow(rows, np.random.default_rng([seed, int(key[0])]), limit)
         out = pd.DataFrame(grown, columns=["feature", "cut", "left", "right", "depth"])
-        return out.assign(tree=int(key[0]), node=range(len(out)))[["tree", "node", "feature", "cut", "left", "right", "depth"]]
-
-    drawn = _draw(features, keys, n, trees, sample_size, seed)
-    nodes = drawn.groupBy("tree").applyInPandas(grow, NODES).toPandas().sort_values(["tree", "node"], ignore_index=True)
+        return out.assign(tree=int(key[0]), node=range(len(out)), drawn=len(rows))[["tree", "node", "feature", "cut", "left", "right", "depth", "drawn"]]
+
+    extra = 6.0
+    while True:  # once, but for one run in many millions
+        drawn = _draw(features, keys, n, trees, size, seed, extra)
+        grown = drawn.groupBy("tree").applyInPandas(grow, NODES + ", drawn int").toPandas().sort_values(["tree", "node"], ignore_index=True)
+        if (grown.groupby("tree")["drawn"].first().reindex(range(trees), fill_value=0) == size).all():
+            break
+        extra *= 2
+    nodes = grown.drop(columns="drawn")
     model = ForestModel(nodes, size, 0.0, contamination, n, 0, 0.0)
 
     path = scratch_dir(features.sparkSession, "forest-scores")
@@ -178,12 +207,18 @@ def ml_findings(scored: DataFrame, rule_findings: DataFrame, *, ingest_ts, min_c
     ), "forest", ingest_ts=ingest_ts)
 
 
-def known_model_findings(scored: DataFrame, rule_findings: DataFrame, *, ingest_ts,
+def known_model_findings(entries: DataFrame, model: ForestModel, fires: DataFrame, *, ingest_ts, strict: bool = False,
                          min_confidence: float = 0.7) -> DataFrame:
-    """Findings of a model loaded before the run: lines no rule has found."""
+    """Findings of a model loaded before the run: lines on which no rule has found anything.
+
+    What the rules for single lines say is worked out beside the score, in the same row. Only the lines on which a rate
+    rule has fired (``fires``: ``log_file``, ``line_number``), one in as many as its threshold, are looked up.
+    """
+    scored = score_isolation_forest(extract_features(entries), model)
     sure = scored.filter(F.col("is_anomaly") & (F.col("confidence") > min_confidence))
-    found = rule_findings.filter("line_number is not null").select("log_file", "line_number").distinct()
-    fresh = sure.join(found, ["log_file", "line_number"], "left_anti")
+    quiet = with_line_hits(sure, strict=strict).filter("NOT line_hit")
+    known = fires.filter("line_number IS NOT NULL").select("log_file", "line_number").distinct()
+    fresh = quiet.join(known, ["log_file", "line_number"], "left_anti")
     return as_findings(fresh.select(
         "log_file", "line_number", "source_ip", "target",
         F.lit("ML_DETECTED").alias("type"), F.lit("MEDIUM").alias("severity"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import fixed_values as fixed
-from emberlog.functions.literals import any_found_in, case_blind, may_match
+from emberlog.functions.literals import MESSAGE_PIECES, any_found_in, case_blind, holds_pieces
 from emberlog.functions.regex import EXACT, drop_nulls, fields_of, filled, rewrite, unquoted
 from emberlog.functions.staging import once
 from emberlog.functions.stamps import leading_stamp, stamp_anywhere, stamp_value
@@ -39,7 +39,7 @@ def auth_fields(column: str) -> Column:
     marked = F.when(F.lit(False), message)
     for name, (pattern, user, address) in fixed.AUTH_MESSAGES.items():
         command = 2 if name == "sudo" else 0
-        hit = may_match(column, pattern) & message.rlike(EXACT + pattern)
+        hit = holds_pieces(column, MESSAGE_PIECES[name]) & message.rlike(EXACT + pattern)
         marked = marked.when(hit, rewrite(message, name, pattern, (user, address, command)))
     return fields_of(marked)
 

@@ -1,172 +1,24 @@
 """Rate rules: too many rows of one address within a time window.
 
 A rule keeps the recent times of each address and forgets them when it fires, so
-it is sequential per address. Addresses with few rows are folded in one
-expression. An address with more rows than ``max_group`` is never brought into
-one task: its rows are range-partitioned, each chunk is run for every state it
-could start in, and the chunks' small state tables are then put together.
+it is sequential per address; ``operators/reset_window`` takes it apart.
 """
 
 from __future__ import annotations
 
-import math
-import os
 from datetime import datetime
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberlog.functions import fixed_values as fixed
-from emberlog.functions.reset_scan import join_tails, run_chunk, survivors
 from emberlog.functions.scores import risk_score
 from emberlog.functions.stamps import micros
 from emberlog.operators.findings import as_findings, stamp_literal
-from emberlog.session import scratch_dir
+from emberlog.operators.reset_window import BLOCK_LINES, held_after_files, reset_window
 
 SECOND = 1_000_000
-MAX_GROUP = 50_000
-CHUNK_ROWS = 500_000
-_ORDERS = {"file": ["log_file", "line_number"], "event_time": ["t", "log_file", "line_number"]}
-
-
-def reset_window(rows: DataFrame, *, window_us: int, threshold: int, order: str = "file",
-                 payload: list[str] | None = None, max_group: int | None = None,
-                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Fires and leftovers of a reset-window rule.
-
-    ``rows`` has ``source_ip``, ``t`` (microseconds), ``log_file``, ``line_number``
-    and the ``payload`` columns. A row leaves the window when it is more than
-    ``window_us`` older than the current one. Result: ``kind`` is ``fire`` (one row
-    per fire, of the firing line) or ``held`` (one per address that still holds
-    rows at the end); ``count`` is the number of rows held at that moment.
-
-    Runs one counting job to see whether an address exceeds ``max_group``.
-    """
-    max_group = max_group or MAX_GROUP
-    payload = payload or []
-    keys = _ORDERS[order]
-    rows = rows.select("source_ip", "t", "log_file", "line_number", *payload).filter("source_ip is not null")
-    heavy = rows.groupBy("source_ip").count().filter(F.col("count") > max_group).select("source_ip")
-    if heavy.isEmpty():
-        return _folded(rows, keys, window_us, threshold, payload)
-    light = _folded(rows.join(heavy, "source_ip", "left_anti"), keys, window_us, threshold, payload)
-    split = _chunked(rows.join(heavy, "source_ip", "left_semi"), keys, window_us, threshold, payload, chunk_rows)
-    return light.unionByName(split)
-
-
-def _folded(rows: DataFrame, keys: list[str], window_us: int, threshold: int, payload: list[str]) -> DataFrame:
-    """All rows of an address in one array; the fold's state is the held times."""
-    fields = list(dict.fromkeys([*keys, "t", "log_file", "line_number", *payload]))
-    grouped = rows.groupBy("source_ip").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
-    start = F.struct(
-        F.array().cast("array<bigint>").alias("held"),
-        F.array().cast("array<int>").alias("fires"),
-        F.lit(0).alias("i"))
-
-    def step(state: Column, row: Column) -> Column:
-        young = F.filter(state["held"], lambda t: row["t"] - t <= window_us)
-        full = F.size(young) + 1 >= threshold
-        return F.struct(
-            F.when(full, F.array().cast("array<bigint>")).otherwise(F.array_append(young, row["t"])).alias("held"),
-            F.when(full, F.array_append(state["fires"], state["i"])).otherwise(state["fires"]).alias("fires"),
-            (state["i"] + 1).alias("i"))
-
-    folded = grouped.select("source_ip", "rows", F.aggregate("rows", start, step).alias("end"))
-    described = lambda kind, count, row: F.struct(
-        F.lit(kind).alias("kind"), count.cast("bigint").alias("count"),
-        *[row[c].alias(c) if row is not None else F.lit(None).cast(rows.schema[c].dataType).alias(c)
-          for c in ("t", "log_file", "line_number", *payload)])
-    fires = F.transform("end.fires", lambda i: described("fire", F.lit(threshold), F.get(F.col("rows"), i)))
-    held = F.when(F.size("end.held") > 0, F.array(described("held", F.size("end.held"), None)))
-    events = F.concat(fires, F.coalesce(held, F.filter(fires, lambda _: F.lit(False))))
-    return folded.select("source_ip", F.explode(events).alias("e")).select("source_ip", "e.*")
-
-
-def _chunked(rows: DataFrame, keys: list[str], window_us: int, threshold: int, payload: list[str],
-             chunk_rows: int) -> DataFrame:
-    """The same result for addresses whose rows do not fit one task."""
-    spark = rows.sparkSession
-    folder = scratch_dir(spark, "reset-window")
-    keep = threshold - 1
-
-    # Range partitions split an address by its row order; the unique last key makes
-    # the split possible even where all times are equal. Written, so that the chunk
-    # numbers stay what they are whatever is computed again later.
-    parts = max(2, math.ceil(rows.count() / chunk_rows))
-    chunks = _written(
-        rows.repartitionByRange(parts, "source_ip", *keys).withColumn("chunk", F.spark_partition_id()),
-        os.path.join(folder, "chunks"))
-
-    def tail_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = pdf.sort_values(keys)["t"].to_numpy()
-        last = times[survivors(times, window_us)][-keep:] if keep else times[:0]
-        return pd.DataFrame({"source_ip": [pdf["source_ip"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]],
-                             "latest": [times.max()], "tail": [last.tolist()]})
-
-    def carry_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        before, carried = np.empty(0, dtype=np.int64), []
-        for latest, tail in pdf.sort_values("chunk")[["latest", "tail"]].itertuples(index=False):
-            carried.append(before.tolist())
-            before = join_tails(before, latest, np.asarray(tail, dtype=np.int64), window_us, keep)
-        return pdf.sort_values("chunk")[["source_ip", "chunk"]].assign(carried=carried)
-
-    # One row per address and chunk from here on; an address has as many as its
-    # rows fill partitions.
-    tails = chunks.select("source_ip", "chunk", *keys, *(["t"] if "t" not in keys else [])).groupBy(
-        "source_ip", "chunk").applyInPandas(tail_of, "source_ip string, chunk int, latest bigint, tail array<bigint>")
-    carries = tails.groupBy("source_ip").applyInPandas(
-        carry_of, "source_ip string, chunk int, carried array<bigint>")
-
-    out_columns = ["t", "log_file", "line_number", *payload]
-    out_schema = T.StructType([
-        T.StructField("source_ip", T.StringType()), T.StructField("chunk", T.IntegerType()),
-        T.StructField("states", T.ArrayType(T.IntegerType())), T.StructField("leaving", T.ArrayType(T.IntegerType())),
-        *[T.StructField(c, rows.schema[c].dataType) for c in out_columns]])
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pdf = left.sort_values(keys, ignore_index=True)
-        carried = np.asarray(right["carried"].iloc[0], dtype=np.int64)
-        fired, leaving = run_chunk(carried, pdf["t"].to_numpy(), window_us, threshold)
-        at = sorted(fired)
-        fires = pdf.loc[at, out_columns].assign(states=[fired[i] for i in at], leaving=None)
-        table = pd.DataFrame([{**dict.fromkeys(out_columns), "states": None, "leaving": leaving}])
-        both = pd.concat([fires, table], ignore_index=True) if at else table
-        both["source_ip"], both["chunk"] = pdf["source_ip"].iloc[0], pdf["chunk"].iloc[0]
-        for c in ("t", "line_number"):
-            both[c] = both[c].astype("Int64")
-        return both[[f.name for f in out_schema]]
-
-    ran = _written(
-        chunks.groupBy("source_ip", "chunk").cogroup(carries.groupBy("source_ip", "chunk")).applyInPandas(run, out_schema),
-        os.path.join(folder, "ran"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk", ignore_index=True)
-        state, entering = 0, []
-        for leaving in pdf["leaving"]:
-            entering.append(state)
-            state = int(leaving[state])
-        return pdf[["source_ip", "chunk"]].assign(
-            entering=entering, left_over=[None] * (len(pdf) - 1) + [state]).astype({"left_over": "Int64"})
-
-    walked = ran.filter("leaving is not null").select("source_ip", "chunk", "leaving").groupBy("source_ip").applyInPandas(
-        walk, "source_ip string, chunk int, entering int, left_over bigint")
-    fires = ran.filter("states is not null").join(walked, ["source_ip", "chunk"]).filter(
-        F.array_contains("states", F.col("entering"))).select(
-        "source_ip", F.lit("fire").alias("kind"), F.lit(threshold).cast("bigint").alias("count"), *out_columns)
-    held = walked.filter("left_over > 0").select(
-        "source_ip", F.lit("held").alias("kind"), F.col("left_over").alias("count"),
-        *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in out_columns])
-    return fires.unionByName(held)
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _timed(entries: DataFrame, ingest_ts: datetime | str) -> DataFrame:
@@ -184,22 +36,27 @@ def failed_logins(entries: DataFrame, *, ingest_ts: datetime | str) -> DataFrame
 
 
 def login_rule(entries: DataFrame, *, ingest_ts: datetime | str, attempts: int = 5, window_seconds: int = 300,
-               order: str = "file", max_group: int | None = None) -> DataFrame:
+               order: str = "file", block_lines: int = BLOCK_LINES) -> DataFrame:
     """Fires and leftovers of failed sign-ins, for the two rules below."""
     return reset_window(failed_logins(entries, ingest_ts=ingest_ts), window_us=window_seconds * SECOND,
-                        threshold=attempts, order=order, payload=["user", "raw_line"], max_group=max_group)
+                        threshold=attempts, order=order, payload=["user", "raw_line"], block_lines=block_lines)
 
 
 def detect_brute_force(entries: DataFrame, *, ingest_ts: datetime | str, attempts: int = 5, window_seconds: int = 300,
-                       order: str = "file", max_group: int | None = None, scanned: DataFrame | None = None) -> DataFrame:
+                       order: str = "file", block_lines: int = BLOCK_LINES, scanned: DataFrame | None = None) -> DataFrame:
     """``attempts`` failed sign-ins of one address within the window (inclusive).
 
     ``scanned`` takes a result of ``login_rule`` to share it between rules.
     """
     events = scanned if scanned is not None else login_rule(
-        entries, ingest_ts=ingest_ts, attempts=attempts, window_seconds=window_seconds, order=order, max_group=max_group)
+        entries, ingest_ts=ingest_ts, attempts=attempts, window_seconds=window_seconds, order=order, block_lines=block_lines)
+    return brute_force_findings(events.filter("kind = 'fire'"), ingest_ts=ingest_ts, window_seconds=window_seconds)
+
+
+def brute_force_findings(fires: DataFrame, *, ingest_ts: datetime | str, window_seconds: int) -> DataFrame:
+    """What the fires of the sign-in rule say."""
     kind = F.lit("BRUTE_FORCE")
-    return as_findings(events.filter("kind = 'fire'").select(
+    return as_findings(fires.select(
         "log_file", "line_number", "source_ip", kind.alias("type"), F.lit("HIGH").alias("severity"),
         F.col("user").alias("target"),
         F.format_string(fixed.BRUTE_FORCE_DETAIL, F.col("count"), F.lit(window_seconds)).alias("detail"),
@@ -209,13 +66,25 @@ def detect_brute_force(entries: DataFrame, *, ingest_ts: datetime | str, attempt
 
 
 def detect_residual(entries: DataFrame, *, ingest_ts: datetime | str, at_least: int = 3, attempts: int = 5,
-                    window_seconds: int = 300, order: str = "file", max_group: int | None = None,
-                    scanned: DataFrame | None = None) -> DataFrame:
-    """Addresses that still hold failed sign-ins when all lines have been read."""
-    events = scanned if scanned is not None else login_rule(
-        entries, ingest_ts=ingest_ts, attempts=attempts, window_seconds=window_seconds, order=order, max_group=max_group)
-    return as_findings(events.filter((F.col("kind") == "held") & (F.col("count") >= at_least)).select(
-        "source_ip", F.lit("SUSPICIOUS_ACCESS").alias("type"), F.lit("LOW").alias("severity"),
+                    window_seconds: int = 300, order: str = "file", block_lines: int = BLOCK_LINES,
+                    scanned: DataFrame | None = None, per_file: bool = False) -> DataFrame:
+    """Addresses that still hold failed sign-ins when all lines have been read.
+
+    ``per_file`` asks this at the end of every file of ``entries`` instead, in the order of their names: an address
+    that holds rows is found again for each later file until its own rows change that.
+    """
+    if per_file:
+        if order != "file":
+            raise ValueError("files end in the order of their lines only")
+        found = held_after_files(
+            failed_logins(entries, ingest_ts=ingest_ts), entries.select("log_file"), window_us=window_seconds * SECOND,
+            threshold=attempts, at_least=at_least, block_lines=block_lines)
+    else:
+        events = scanned if scanned is not None else login_rule(
+            entries, ingest_ts=ingest_ts, attempts=attempts, window_seconds=window_seconds, order=order, block_lines=block_lines)
+        found = events.filter((F.col("kind") == "held") & (F.col("count") >= at_least)).select("source_ip", "count")
+    return as_findings(found.select(
+        *[c for c in ("log_file",) if per_file], "source_ip", F.lit("SUSPICIOUS_ACCESS").alias("type"), F.lit("LOW").alias("severity"),
         F.format_string(fixed.RESIDUAL_DETAIL, F.col("count")).alias("detail"),
         F.lit(0.4).alias("score"), "count",
     ), "residual", ingest_ts=ingest_ts)
@@ -227,11 +96,16 @@ def web_requests(entries: DataFrame, *, ingest_ts: datetime | str) -> DataFrame:
 
 
 def detect_ddos(entries: DataFrame, *, ingest_ts: datetime | str, requests: int = 100, window_seconds: int = 60,
-                order: str = "file", max_group: int | None = None) -> DataFrame:
+                order: str = "file", block_lines: int = BLOCK_LINES) -> DataFrame:
     """``requests`` web lines of one address within the window (inclusive)."""
     events = reset_window(web_requests(entries, ingest_ts=ingest_ts), window_us=window_seconds * SECOND,
-                          threshold=requests, order=order, max_group=max_group)
-    return as_findings(events.filter("kind = 'fire'").select(
+                          threshold=requests, order=order, block_lines=block_lines)
+    return ddos_findings(events.filter("kind = 'fire'"), ingest_ts=ingest_ts, window_seconds=window_seconds)
+
+
+def ddos_findings(fires: DataFrame, *, ingest_ts: datetime | str, window_seconds: int) -> DataFrame:
+    """What the fires of the request rule say."""
+    return as_findings(fires.select(
         "log_file", "line_number", "source_ip", F.lit("DDOS").alias("type"), F.lit("CRITICAL").alias("severity"),
         F.format_string(fixed.DDOS_DETAIL, F.col("count"), F.lit(window_seconds)).alias("detail"),
         _moment(F.col("t")).alias("event_ts"),
@@ -249,12 +123,17 @@ def api_requests(entries: DataFrame, *, ingest_ts: datetime | str, marks: list[s
 
 
 def detect_api_abuse(entries: DataFrame, *, ingest_ts: datetime | str, requests: int = 50, window_seconds: int = 60,
-                     marks: list[str] | None = None, order: str = "file", max_group: int | None = None) -> DataFrame:
+                     marks: list[str] | None = None, order: str = "file", block_lines: int = BLOCK_LINES) -> DataFrame:
     """``requests`` API calls of one address, all newer than the window's start."""
     events = reset_window(api_requests(entries, ingest_ts=ingest_ts, marks=marks),
                           window_us=window_seconds * SECOND - 1, threshold=requests, order=order,
-                          payload=["endpoint", "raw_line"], max_group=max_group)
-    return as_findings(events.filter("kind = 'fire'").select(
+                          payload=["endpoint", "raw_line"], block_lines=block_lines)
+    return api_findings(events.filter("kind = 'fire'"), ingest_ts=ingest_ts)
+
+
+def api_findings(fires: DataFrame, *, ingest_ts: datetime | str) -> DataFrame:
+    """What the fires of the API rule say."""
+    return as_findings(fires.select(
         "log_file", "line_number", "source_ip", F.lit("API_ABUSE").alias("type"), F.lit("HIGH").alias("severity"),
         F.col("endpoint").alias("target"),
         F.format_string(fixed.API_ABUSE_DETAIL, F.col("count"), F.col("source_ip")).alias("detail"),

@@ -24,6 +24,14 @@ def signature_types(lowered: str, *, strict: bool = False) -> Column:
     return drop_nulls(F.array(*tests))
 
 
+def with_line_hits(entries: DataFrame, *, strict: bool = False) -> DataFrame:
+    """Adds ``line_hit``: whether ``detect_signatures`` or ``detect_unauthorized`` finds something on the line."""
+    text = F.concat_ws(" ", "raw_line", filled(F.col("url")))
+    refused = F.col("log_type").isin("WEB_ACCESS", "WEB_ERROR") & F.col("status").isin("401", "403")
+    lowered = once(entries, _low=case_blind(text))
+    return lowered.withColumn("line_hit", F.coalesce(refused, F.lit(False)) | (F.size(signature_types("_low", strict=strict)) > 0)).drop("_low")
+
+
 def detect_signatures(entries: DataFrame, *, ingest_ts: datetime | str, strict: bool = False) -> DataFrame:
     """One finding per category and line. One pass, no shuffle."""
     text = F.concat_ws(" ", "raw_line", filled(F.col("url")))

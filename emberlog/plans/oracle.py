@@ -297,3 +297,10 @@ def reset_fires(rows: str, window_us: int, threshold: int) -> str:
   CASE WHEN len({young}) + 1 >= {threshold} THEN CAST([] AS BIGINT[]) ELSE list_append({young}, r.t) END,
   len({young}) + 1 >= {threshold}
  FROM w JOIN r ON r.source_ip = w.source_ip AND r.n = w.n + 1)"""
+
+
+def reset_part(name: str, rows: str, window_us: int, threshold: int) -> str:
+    """``reset_fires`` as parts r_name and w_name of a WITH RECURSIVE."""
+    walk = reset_fires(rows, window_us, threshold)
+    return walk.replace("WITH RECURSIVE r AS", f"r_{name} AS", 1).replace("w(source_ip", f"w_{name}(source_ip", 1).replace(
+        "FROM r WHERE", f"FROM r_{name} r WHERE", 1).replace("FROM w JOIN r ON", f"FROM w_{name} w JOIN r_{name} r ON", 1)

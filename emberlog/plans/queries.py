@@ -10,6 +10,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog.functions import fixed_values as fixed
@@ -24,9 +25,9 @@ from emberlog.operators.features import FEATURES, extract_features, scale
 from emberlog.plans import corpus, oracle
 from emberlog.plans.corpus import sql_lines, written
 from emberlog.plans.oracle import INGEST, ORDER, YEAR, clock, lit
+from emberlog.plans.pipeline import analyse
 from emberlog.session import scratch_dir, use_utc
-from emberlog.sources import files, sinks
-from emberlog.streaming import live
+from emberlog.sources import files, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,19 +148,9 @@ def with_line_numbers(spark, sf_dir):
 
 
 @query("read_many", f"""SELECT e.event_type, log_type, count(*) AS lines FROM ({SQL_MIXED}) l
- JOIN events e ON e.event_id + 1 = l.line_number WHERE e.event_type IN ('error', 'view') GROUP BY e.event_type, log_type""")
-def read_many(spark, sf_dir):
-    """Two folders as one scan, parsed under one run."""
-    path = written_logs(spark, sf_dir)
-    rows = files.read_many(spark, [os.path.join(path, "event_type=error"), os.path.join(path, "event_type=view")])
-    return parse.parse_logs(rows, default_year=YEAR).groupBy(_folder().alias("event_type"), "log_type").agg(
-        F.count(F.lit(1)).alias("lines"))
-
-
-@query("read_many_folders", f"""SELECT e.event_type, log_type, count(*) AS lines FROM ({SQL_MIXED}) l
  JOIN events e ON e.event_id + 1 = l.line_number GROUP BY e.event_type, log_type""")
-def read_many_folders(spark, sf_dir):
-    """Every folder that was written, as one scan."""
+def read_many(spark, sf_dir):
+    """Every folder that was written, as one scan, parsed under one run."""
     path = written_logs(spark, sf_dir)
     kinds = [r[0] for r in corpus.table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]
     rows = files.read_many(spark, [os.path.join(path, f"event_type={kind}") for kind in kinds])
@@ -167,42 +158,7 @@ def read_many_folders(spark, sf_dir):
         F.count(F.lit(1)).alias("lines"))
 
 
-def landed(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Lines of a corpus as .log files of a folder, the way a live source delivers them."""
-    path = scratch_dir(spark, "landing")
-    corpus.lines(spark, sf_dir, name).orderBy("line_number").select("raw_line").write.option("maxRecordsPerFile", 2000).text(path)
-    return path
-
-
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a stream gives for the files there are, as a table."""
-    spark = stream.sparkSession
-    out, checkpoint = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-checkpoint")
-    run = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start(out)
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
-@query("stream_logs", f"SELECT log_type, count(*) AS lines FROM ({SQL_MIXED}) e GROUP BY log_type")
-def stream_logs(spark, sf_dir):
-    """Every landed line reaches the parser exactly once."""
-    lines = live.stream_logs(spark, landed(spark, sf_dir, "mixed"))
-    return drained(live.parse_stream(lines, default_year=YEAR).select("log_type")).groupBy("log_type").agg(
-        F.count(F.lit(1)).alias("lines"))
-
-
-@query("tail_follow", f"SELECT raw_line, count(*) AS lines FROM ({sql_lines('mixed')}) l GROUP BY raw_line")
-def tail_follow(spark, sf_dir):
-    """Batches handed to a function that appends them to a table."""
-    out, checkpoint = scratch_dir(spark, "tail-out"), scratch_dir(spark, "tail-checkpoint")
-    lines = live.stream_logs(spark, landed(spark, sf_dir, "mixed"), files_per_trigger=4)
-
-    def append(batch: DataFrame, number: int) -> None:
-        batch.select("raw_line").write.mode("overwrite").parquet(os.path.join(out, f"batch={number}"))
-
-    live.tail_follow(lines, append, checkpoint=checkpoint, every="0 seconds").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).groupBy("raw_line").agg(F.count(F.lit(1)).alias("lines"))
+query("read_many_folders", ORACLES["read_many"])(read_many)
 
 
 # --- parsers ----------------------------------------------------------------------
@@ -462,8 +418,8 @@ def detect_brute_force(spark, sf_dir):
 
 @query("detect_brute_force_hot", SQL_BRUTE)
 def detect_brute_force_hot(spark, sf_dir):
-    """The same rule with every larger address taken as hot: chunked, run in parallel, put together."""
-    return brute_rows(rates.detect_brute_force(auth_entries(spark, sf_dir), ingest_ts=INGEST, max_group=20, **BRUTE))
+    """The same rule in blocks of 50 lines, run apart and put together."""
+    return brute_rows(rates.detect_brute_force(auth_entries(spark, sf_dir), ingest_ts=INGEST, block_lines=50, **BRUTE))
 
 
 @query("detect_ddos", f"""{oracle.reset_fires(_numbered(SQL_ACCESS, "log_type = 'WEB_ACCESS'"), DDOS['window_seconds'] * 1_000_000, DDOS['requests'])}
@@ -491,6 +447,21 @@ def detect_residual(spark, sf_dir):
         "source_ip", "detail", "count")
 
 
+SQL_FILE = "concat('part-', CAST(line_number % 5 AS STRING), '.log')"
+SQL_HELD = f"""SELECT source_ip, row_number() OVER (PARTITION BY source_ip ORDER BY {SQL_FILE}, line_number) AS n, epoch_us(ts) AS t, {SQL_FILE} AS log_file, line_number
+ FROM ({SQL_AUTH}) e WHERE source_ip IS NOT NULL AND log_type = 'AUTH' AND status = 'FAILED'"""
+
+
+@query("detect_residual_per_file", f"""{oracle.reset_fires(SQL_HELD, BRUTE['window_seconds'] * 1_000_000, BRUTE['attempts'])},
+ files AS (SELECT DISTINCT {SQL_FILE} AS log_file FROM ({SQL_AUTH}) a),
+ last AS (SELECT f.log_file, w.source_ip, arg_max(w.held, w.n) AS held FROM files f JOIN w ON w.log_file <= f.log_file GROUP BY f.log_file, w.source_ip)
+ SELECT log_file, source_ip, concat('IP suspeito: ', len(held), ' tentativas falhadas') AS detail, CAST(len(held) AS BIGINT) AS "count" FROM last WHERE len(held) >= 2""")
+def detect_residual_per_file(spark, sf_dir):
+    """The lines dealt over five files: what every address holds at the end of each of them."""
+    entries = auth_entries(spark, sf_dir).withColumn("log_file", F.expr(SQL_FILE))
+    return rates.detect_residual(entries, ingest_ts=INGEST, at_least=2, per_file=True, block_lines=64, **BRUTE).select("log_file", "source_ip", "detail", "count")
+
+
 @query("rate_sliding", f"""SELECT DISTINCT source_ip, t, at_time, in_window FROM (SELECT source_ip, t,
  count(*) OVER (PARTITION BY source_ip, t) AS at_time, count(*) OVER (PARTITION BY source_ip ORDER BY t
  RANGE BETWEEN {BRUTE['window_seconds'] * 1_000_000} PRECEDING AND CURRENT ROW) AS in_window FROM ({SQL_FAILED}) r) s""")
@@ -520,40 +491,15 @@ def ip_stats(spark, sf_dir):
 
 @query("upsert_ip", f"SELECT {SQL_IP_ROW} FROM ({SQL_IP_STATS}) s")
 def upsert_ip(spark, sf_dir):
-    """Totals of the first half of January, brought up to date with the rest."""
-    rows = access_findings(spark, sf_dir)
-    early = F.col("event_ts") < F.lit("2024-01-15").cast("timestamp_ntz")
-    return ip_rows(alerts.upsert_ip(rates.ip_stats(rows.filter(early)), rows.filter(~early)))
-
-
-def _live_fires(spark, sf_dir, name: str, formats: tuple[str, ...], rule) -> DataFrame:
-    lines = live.stream_logs(spark, landed(spark, sf_dir, name))
-    return drained(rule(parse.parse_logs(lines, default_year=YEAR, formats=formats))).groupBy("source_ip").agg(
-        F.count(F.lit(1)).alias("fires"))
-
-
-def _fires_per_ip(rows: str, window_us: int, threshold: int) -> str:
-    return f"""{oracle.reset_fires(rows, window_us, threshold)} SELECT source_ip, count(*) AS fires FROM w WHERE fired GROUP BY source_ip"""
-
-
-@query("live_brute_force", _fires_per_ip(SQL_FAILED, BRUTE["window_seconds"] * 1_000_000, BRUTE["attempts"]))
-def live_brute_force(spark, sf_dir):
-    """The stream gives what the batch rule gives."""
-    return _live_fires(spark, sf_dir, "auth", ("syslog",), lambda e: live.live_brute_force(
-        e, ingest_ts=INGEST, late="10 minutes", **BRUTE))
-
-
-@query("live_ddos", _fires_per_ip(_numbered(SQL_ACCESS, "log_type = 'WEB_ACCESS'"), DDOS["window_seconds"] * 1_000_000, DDOS["requests"]))
-def live_ddos(spark, sf_dir):
-    return _live_fires(spark, sf_dir, "access", ("access",), lambda e: live.live_ddos(
-        e, ingest_ts=INGEST, late="10 minutes", **DDOS))
-
-
-@query("live_api_abuse", _fires_per_ip(_numbered(SQL_ACCESS, "regexp_matches(coalesce(url, ''), '/api/|/v1/|/v2/|/graphql')"),
-                                       API["window_seconds"] * 1_000_000 - 1, API["requests"]))
-def live_api_abuse(spark, sf_dir):
-    return _live_fires(spark, sf_dir, "access", ("access",), lambda e: live.live_api_abuse(
-        e, ingest_ts=INGEST, late="10 minutes", **API))
+    """Totals stored in three batches of days; the second comes twice, and the first two are summed up in between."""
+    rows, path = access_findings(spark, sf_dir), scratch_dir(spark, "ip-totals")
+    batch = F.when(F.dayofmonth("event_ts") <= 8, 0).when(F.dayofmonth("event_ts") <= 20, 1).otherwise(2)
+    for number in (0, 1, 1):
+        tables.add_ip_batch(rows.filter(batch == number), path, number)
+    tables.sum_up_ip_batches(spark, path, 1)
+    for number in (1, 2):
+        tables.add_ip_batch(rows.filter(batch == number), path, number)
+    return ip_rows(tables.stored_ip_stats(spark, path))
 
 
 # --- dashboards -------------------------------------------------------------------------
@@ -810,12 +756,20 @@ def row_id(spark, sf_dir):
     return numbering.number_rows(access_findings(spark, sf_dir), *findings.order_keys()).select("row_id", "line_number", "type")
 
 
-@query("clear", f"SELECT type, count(*) AS findings FROM ({SQL_FINDINGS}) f WHERE user_session <> 's1' GROUP BY type".replace(
-    "user_session", "concat('s', line_number % 3)"))
+SQL_OF_SESSION = "concat('s', line_number % 3)"
+
+
+@query("clear", f"""SELECT strftime(event_ts, '%Y-%m-%d') AS event_date, {SQL_OF_SESSION} AS session_id, type, count(*) AS findings, CAST(count(*) FILTER (line_number % 5 > 0) AS BIGINT) AS rewritten
+ FROM ({SQL_FINDINGS}) f WHERE {SQL_OF_SESSION} <> 's1' AND ({SQL_OF_SESSION} <> 's2' OR line_number % 5 > 0) GROUP BY 1, 2, 3""")
 def clear(spark, sf_dir):
-    """Findings left after those of one session are removed."""
+    """Findings of three sessions are stored; one session comes again with fewer rows, one is cleared; what the table holds then."""
+    path = scratch_dir(spark, "session-findings")
     rows = access_findings(spark, sf_dir).withColumn("session_id", F.concat(F.lit("s"), (F.col("line_number") % 3).cast("string")))
-    return alerts.clear(rows, "s1").groupBy("type").agg(F.count(F.lit(1)).alias("findings"))
+    tables.write_session_findings(rows, path)
+    tables.write_session_findings(rows.filter("session_id = 's2' AND line_number % 5 > 0"), path)
+    tables.clear_findings(spark, path, "s1")
+    return tables.stored_findings(spark, path).groupBy(F.col("event_date").cast("string").alias("event_date"), "session_id", "type").agg(
+        F.count(F.lit(1)).alias("findings"), F.count_if(F.col("line_number") % 5 > 0).alias("rewritten"))
 
 
 @query("union_findings", f"""SELECT type, count(*) AS findings FROM (SELECT type FROM ({SQL_FINDINGS}) f
@@ -860,15 +814,21 @@ def write_timeline(spark, sf_dir):
 
 
 @query("write_session", f"""SELECT 's-1' AS session_id, '2024-02-01 00:00:00' AS start_time, '2024-02-01 00:10:00' AS end_time,
- CAST(1 AS BIGINT) AS files_analyzed, (SELECT count(*) FROM events) AS total_lines, count(*) AS anomalies_found, 'COMPLETED' AS status
- FROM ({SQL_FINDINGS}) f""")
+ CAST(NULL AS BIGINT) AS files_analyzed, (SELECT count(*) FROM events) AS total_lines, count(*) AS anomalies_found, 'COMPLETED' AS status FROM ({SQL_FINDINGS}) f
+ UNION ALL SELECT 's-2', '2024-02-01 00:00:00', '2024-02-01 00:20:00', CAST(1 AS BIGINT), (SELECT count(*) FROM events), count(*), 'COMPLETED' FROM ({SQL_FINDINGS}) f
+ UNION ALL SELECT 's-3', '2024-02-01 00:00:00', NULL, NULL, NULL, NULL, 'RUNNING'""")
 def write_session(spark, sf_dir):
-    """A running session, then ended with the totals of the run."""
-    begun = alerts.start_session(spark, session_id="s-1", start=INGEST)
-    ended = alerts.session_row(access_entries(spark, sf_dir), access_findings(spark, sf_dir), session_id="s-1",
-                               start=INGEST, end="2024-02-01 00:10:00")
-    path = stored(alerts.upsert_sessions(begun, ended), "sessions", sinks.write_session)
-    return spark.read.parquet(path).select(
+    """Three sessions begin; two end with the totals of the run, one of them by its whole row, and both twice: a row each is stored."""
+    path, end = scratch_dir(spark, "sessions"), "2024-02-01 00:10:00"
+    entries, found = access_entries(spark, sf_dir), access_findings(spark, sf_dir)
+    for name in ("s-1", "s-2", "s-3"):
+        tables.write_sessions(alerts.start_session(spark, session_id=name, start=INGEST), path)
+    n_lines, n_found = entries.count(), found.count()
+    for _ in range(2):
+        tables.end_session(spark, path, "s-1", end=end, total_lines=n_lines, anomalies_found=n_found)
+        tables.write_sessions(alerts.session_row(entries, found, session_id="s-2", start=INGEST, end="2024-02-01 00:20:00"), path)
+    tables.end_session(spark, path, "unknown", end=end)
+    return tables.stored_sessions(spark, path).select(
         "session_id", clock_text(F.col("start_time")).alias("start_time"), clock_text(F.col("end_time")).alias("end_time"),
         "files_analyzed", "total_lines", "anomalies_found", "status")
 
@@ -1011,6 +971,23 @@ def sink_jsonl(spark, sf_dir):
         F.count(F.lit(1)).alias("events"))
 
 
+ROTATE_AT = 100_000
+
+
+@query("sink_jsonl_rotated", f"""SELECT event_type, severity, count(*) AS events, true AS files_are_bounded, true AS files_are_full FROM ({SQL_EVENT}) e GROUP BY 1, 2""")
+def sink_jsonl_rotated(spark, sf_dir):
+    """All events in files of 100,000 bytes and a line at most; but for the last, none has less."""
+    path = stored(access_events(spark, sf_dir), "events", lambda df, p: sinks.sink_jsonl(df, p, max_bytes=ROTATE_AT))
+    size = F.octet_length("value") + 1
+    files = spark.read.text(path).withColumn("file", F.input_file_name()).groupBy("part").agg(
+        F.sum(size).alias("bytes"), F.max(size).alias("longest"), F.count_distinct("file").alias("files"))
+    whole = files.withColumn("last", F.col("part") == F.max("part").over(W.partitionBy())).agg(
+        F.bool_and((F.col("bytes") <= ROTATE_AT + F.col("longest")) & (F.col("files") == 1)).alias("files_are_bounded"),
+        F.bool_and((F.col("bytes") > ROTATE_AT - F.col("longest")) | F.col("last")).alias("files_are_full"))
+    counted = spark.read.schema("event_type string, severity string").json(path).groupBy("event_type", "severity").agg(F.count(F.lit(1)).alias("events"))
+    return counted.join(F.broadcast(whole), F.lit(True))
+
+
 @query("sink_text", SQL_CEF)
 def sink_text(spark, sf_dir):
     path = stored(to_cef_line(access_events(spark, sf_dir)), "cef", sinks.sink_text)
@@ -1029,6 +1006,54 @@ def fan_out(spark, sf_dir):
     return both[0].unionByName(both[1])
 
 
+# --- whole runs -------------------------------------------------------------------------------------
+
+THRESHOLDS = {"login": BRUTE, "ddos": DDOS, "residual": {"at_least": 2}}
+SQL_RUN_ROWS = """SELECT source_ip, row_number() OVER (PARTITION BY source_ip ORDER BY log_file, line_number) AS n,
+ epoch_us(coalesce(ts, TIMESTAMP '{ingest}')) AS t, log_file, line_number FROM e WHERE source_ip IS NOT NULL AND {where}"""
+SQL_RUN = f"""WITH RECURSIVE e AS MATERIALIZED ({SQL_MIXED}),
+ {oracle.reset_part('brute', SQL_RUN_ROWS.format(ingest=INGEST, where="log_type = 'AUTH' AND status = 'FAILED'"), BRUTE['window_seconds'] * 1_000_000, BRUTE['attempts'])},
+ {oracle.reset_part('ddos', SQL_RUN_ROWS.format(ingest=INGEST, where="log_type IN ('WEB_ACCESS', 'WEB_ERROR')"), DDOS['window_seconds'] * 1_000_000, DDOS['requests'])},
+ found AS MATERIALIZED (SELECT log_file, line_number, type, severity, source_ip, target, detail, evidence, event_ts, score FROM ({oracle.signature_findings('SELECT * FROM e')}) s
+ UNION ALL SELECT log_file, line_number, type, severity, source_ip, target, detail, evidence, event_ts, score FROM ({oracle.unauthorized_findings('SELECT * FROM e')}) u
+ UNION ALL SELECT w.log_file, w.line_number, 'BRUTE_FORCE', 'HIGH', w.source_ip, e.usr, 'Brute-force: {BRUTE['attempts']} tentativas em {BRUTE['window_seconds']}s', e.raw_line, make_timestamp(w.t),
+  CAST(0.75 + 0.04 AS DOUBLE) FROM w_brute w JOIN e USING (line_number) WHERE fired
+ UNION ALL SELECT w.log_file, w.line_number, 'DDOS', 'CRITICAL', w.source_ip, NULL, 'Possível DDoS: {DDOS['requests']} requests em {DDOS['window_seconds']}s', NULL, make_timestamp(w.t),
+  CAST({DDOS['requests'] / 200} AS DOUBLE) FROM w_ddos w WHERE fired
+ UNION ALL SELECT NULL, NULL, 'SUSPICIOUS_ACCESS', 'LOW', source_ip, NULL, concat('IP suspeito: ', len(held), ' tentativas falhadas'), NULL, TIMESTAMP '{INGEST}', CAST(0.4 AS DOUBLE)
+  FROM (SELECT *, row_number() OVER (PARTITION BY source_ip ORDER BY n DESC) AS back FROM w_brute) x WHERE back = 1 AND len(held) >= 2)"""
+
+
+def run_over_mixed(spark: SparkSession, sf_dir: str, **how):
+    return analyse(corpus.lines(spark, sf_dir, "mixed"), default_year=YEAR, ingest_ts=INGEST, session_id="run", extended=False, thresholds=THRESHOLDS, **how)
+
+
+@query("analyse_run", f"{SQL_RUN} SELECT {SQL_FINDING}, 'run' AS session_id FROM found")
+def analyse_run(spark, sf_dir):
+    """A whole run over mixed lines: every finding of every rule."""
+    found = run_over_mixed(spark, sf_dir).findings
+    return finding_rows(found).join(found.select("session_id").distinct(), F.lit(True))
+
+
+@query("analyse_known_model", f"""{SQL_RUN} SELECT count(DISTINCT line_number) AS lines_of_rules, count(*) AS rule_findings, CAST(0 AS BIGINT) AS model_on_lines_of_rules,
+ true AS some_are_found, true AS all_are_sure, true AS none_is_lost FROM found""")
+def analyse_known_model(spark, sf_dir):
+    """A model that was fitted on access lines, stored and loaded, in a run over mixed lines: it adds findings only where no rule has any."""
+    path = scratch_dir(spark, "model")
+    forest.save_model(spark, forest.fit_isolation_forest(_keyed(extract_features(access_entries(spark, sf_dir))), KEYS, contamination=0.15), path)
+    model = forest.load_model(spark, path)
+    run = run_over_mixed(spark, sf_dir, model=model, model_confidence=0.5)
+    rules, added = run.findings.filter("rule <> 'known_model'"), run.findings.filter("rule = 'known_model'")
+    of_rules = rules.filter("line_number IS NOT NULL").select("log_file", "line_number").distinct()
+    sure = forest.score_isolation_forest(extract_features(run.entries), model).filter("is_anomaly AND confidence > 0.5")
+    wanted = sure.join(of_rules, KEYS, "left_anti").agg(F.count(F.lit(1)).alias("wanted"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    counted = one(rules.agg(F.count(F.lit(1)).alias("rule_findings"))).join(one(of_rules.agg(F.count(F.lit(1)).alias("lines_of_rules"))), "one").join(
+        one(added.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(F.col("score") > 0.5), F.lit(True)).alias("all_are_sure"))), "one").join(
+        one(added.join(of_rules, KEYS, "left_semi").agg(F.count(F.lit(1)).alias("model_on_lines_of_rules"))), "one").join(one(wanted), "one")
+    return counted.select("lines_of_rules", "rule_findings", "model_on_lines_of_rules", (F.col("n") > 0).alias("some_are_found"), "all_are_sure", (F.col("n") == F.col("wanted")).alias("none_is_lost"))
+
+
 # --- detectors --------------------------------------------------------------------------------------
 
 SQL_API_FIRES = f"""{oracle.reset_fires(_numbered(SQL_ACCESS, "regexp_matches(coalesce(url, ''), '/api/|/v1/|/v2/|/graphql')"),
@@ -1042,20 +1067,6 @@ def access_registry() -> DetectorRegistry:
     return registry
 
 
-@query("live_counts", f"""WITH e AS MATERIALIZED ({SQL_ACCESS}), f AS (
- SELECT event_ts, severity FROM ({SQL_FINDINGS}) g UNION ALL SELECT ts, 'CRITICAL' FROM e WHERE {SQL_SENSITIVE_ACCESS}
- UNION ALL SELECT ts, CASE WHEN hour(ts) < 8 OR hour(ts) >= 20 THEN 'MEDIUM' ELSE 'LOW' END FROM e
- WHERE hour(ts) < 8 OR hour(ts) >= 20 OR isodow(ts) >= 6)
- SELECT strftime(event_ts, '%Y-%m-%d') AS day, count(*) AS findings, {SQL_SEVERITIES} FROM f
- WHERE CAST(event_ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(event_ts) FROM f) - INTERVAL 10 MINUTE GROUP BY 1""")
-def live_counts(spark, sf_dir):
-    """Windows of the live dashboard that the watermark has closed."""
-    lines = live.stream_logs(spark, landed(spark, sf_dir, "access"))
-    entries = parse.parse_logs(lines, default_year=YEAR, formats=("access",))
-    return drained(live.live_counts(live.stateless_findings(entries, ingest_ts=INGEST), late="10 minutes", width="1 day")).select(
-        F.date_format("window.start", "yyyy-MM-dd").alias("day"), "findings", "critical", "high", "medium", "low")
-
-
 SQL_DETECTIONS = f"""SELECT 'api_abuse' AS plugin_id, ({SQL_API_FIRES}) AS detections
  UNION ALL SELECT 'sensitive_data', count(*) FROM ({SQL_ACCESS}) e WHERE {SQL_SENSITIVE_ACCESS}
  UNION ALL SELECT 'anomalous_time', count(*) FROM ({SQL_ACCESS}) e WHERE hour(ts) < 8 OR hour(ts) >= 20 OR isodow(ts) >= 6"""
@@ -1143,55 +1154,80 @@ def _keyed(features: DataFrame) -> DataFrame:
 KEYS = ["log_file", "line_number"]
 
 
-@query("fit_isolation_forest")
+def within_share(found: Column, at_most_cut: Column, n: Column, share: float) -> Column:
+    """Whether a share of the rows are outliers, within rounding; rows equal to the cut may be either."""
+    return (found <= F.ceil(F.lit(share) * n)) & (at_most_cut >= F.floor(F.lit(share) * n))
+
+
+@query("fit_isolation_forest", """SELECT true AS is_trained, count(*) AS samples_trained, least(256, count(*)) AS sample_size, CAST(100 AS BIGINT) AS trees,
+ CAST(0.15 AS DOUBLE) AS contamination, true AS found_within_share, true AS trees_are_bounded FROM events""")
 def fit_isolation_forest(spark, sf_dir):
-    """What training reports: rows, outliers, mean score."""
+    """What training reports: rows, size of the draws, trees, and whether the outliers are the share asked for."""
     model = forest.fit_isolation_forest(_keyed(mixed_features(spark, sf_dir)), KEYS, contamination=0.15)
-    return forest.model_info(spark, model).withColumn("mean_score", F.round("mean_score", 4))
+    bounded = bool((model.nodes.groupby("tree").size() < 2 * model.sample_size).all() and (model.nodes["depth"] >= 0).all())
+    n = model.samples_trained
+    return forest.model_info(spark, model).select(
+        "is_trained", F.col("samples_trained").cast("bigint").alias("samples_trained"), F.col("sample_size").cast("bigint").alias("sample_size"),
+        F.lit(model.nodes["tree"].nunique()).cast("bigint").alias("trees"), "contamination",
+        F.lit(abs(model.anomalies_found - 0.15 * n) <= max(1.0, 0.01 * n)).alias("found_within_share"), F.lit(bounded).alias("trees_are_bounded"))
 
 
-@query("score_isolation_forest")
+@query("score_isolation_forest", """SELECT count(*) AS scored, true AS within_share, true AS confidence_follows, true AS sign_follows, true AS equal_rows_agree FROM events""")
 def score_isolation_forest(spark, sf_dir):
+    """Every line has a score; outliers are the share asked for, the confidence follows the score, equal lines have equal scores."""
     rows = _keyed(mixed_features(spark, sf_dir))
     scored = forest.score_isolation_forest(rows, forest.fit_isolation_forest(rows, KEYS, contamination=0.15))
-    return scored.select("line_number", "is_anomaly", F.round("anomaly_score", 9).alias("anomaly_score"),
-                         F.round("confidence", 9).alias("confidence"))
+    same = scored.groupBy(*FEATURES).agg((F.max("anomaly_score") - F.min("anomaly_score")).alias("apart"), F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("found"),
+                                         F.count_if(F.col("anomaly_score") <= 0).alias("at_most"),
+                                         F.bool_and(F.abs(F.col("confidence") - F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 - F.col("anomaly_score")))) < 1e-12).alias("follows"),
+                                         F.bool_and(F.col("is_anomaly") == (F.col("anomaly_score") < 0)).alias("sign"))
+    return same.agg(F.sum("n").alias("scored"), within_share(F.sum("found"), F.sum("at_most"), F.sum("n"), 0.15).alias("within_share"),
+                    F.bool_and("follows").alias("confidence_follows"), F.bool_and("sign").alias("sign_follows"), (F.max("apart") == 0).alias("equal_rows_agree"))
 
 
-@query("ml_findings")
+@query("ml_findings", f"""SELECT (SELECT count(DISTINCT source_ip) FROM ({SQL_FINDINGS}) f WHERE type = 'XXE') AS known_addresses, CAST(0 AS BIGINT) AS of_known_addresses,
+ true AS some_are_found, true AS all_are_sure, true AS none_is_lost""")
 def ml_findings(spark, sf_dir):
-    """Outliers of addresses that no error finding has named."""
+    """Outliers of addresses that no error finding has named: all sure ones of other addresses, none of a known one."""
     rows = _keyed(mixed_features(spark, sf_dir))
-    scored = forest.score_isolation_forest(rows, forest.fit_isolation_forest(rows, KEYS, contamination=0.15))
+    scored = stored_frame(forest.score_isolation_forest(rows, forest.fit_isolation_forest(rows, KEYS, contamination=0.15)), "scored")
     known = access_findings(spark, sf_dir).filter("type = 'XXE'")
-    return finding_rows(forest.ml_findings(scored, known, ingest_ts=INGEST, min_confidence=0.5))
+    found = forest.ml_findings(scored, known, ingest_ts=INGEST, min_confidence=0.5)
+    addresses = known.select("source_ip").distinct()
+    named = F.broadcast(addresses.withColumn("named", F.lit(True))) if addresses.count() < 1_000_000 else addresses.withColumn("named", F.lit(True))
+    flagged = found.join(named, found["source_ip"].eqNullSafe(named["source_ip"]), "left").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("named").alias("of_known_addresses"), F.coalesce(F.bool_and(F.col("score") > 0.5), F.lit(True)).alias("all_are_sure"))
+    sure = scored.filter("is_anomaly AND confidence > 0.5").join(named, scored["source_ip"].eqNullSafe(named["source_ip"]), "left_anti").agg(F.count(F.lit(1)).alias("wanted"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(flagged).join(one(sure), "one").join(one(addresses.agg(F.count("source_ip").alias("known_addresses"))), "one").select(
+        "known_addresses", "of_known_addresses", (F.col("n") > 0).alias("some_are_found"), "all_are_sure", (F.col("n") == F.col("wanted")).alias("none_is_lost"))
+
+
+def stored_frame(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@query("model_profiles", "SELECT * FROM (VALUES " + ", ".join(
-    f"({lit(p)}, CAST({c} AS DOUBLE), (SELECT CAST(floor({c} * count(*)) AS BIGINT) FROM events))" for p, c in fixed.PROFILES.items())
-    + ") v(profile, contamination, least_found)")
-def model_profiles(spark, sf_dir):
-    """Outliers each scenario must find at least, by its share of the rows."""
-    n = corpus.table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("n"))
-    profiles = F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(c).alias("contamination")) for p, c in fixed.PROFILES.items()])
-    return n.select("n", F.explode(profiles).alias("p")).select(
-        "p.profile", "p.contamination", F.floor(F.col("p.contamination") * F.col("n")).alias("least_found"))
+SQL_PROFILES = "SELECT * FROM (VALUES " + ", ".join(
+    f"({lit(p)}, CAST({c} AS DOUBLE), (SELECT count(*) FROM events), true)" for p, c in fixed.PROFILES.items()) + ") v(profile, contamination, scored, within_share)"
 
 
-@query("fit_profile")
+@query("fit_profile", f"SELECT CAST({fixed.PROFILES['web_server']} AS DOUBLE) AS contamination, count(*) AS scored, true AS within_share FROM events")
 def fit_profile(spark, sf_dir):
-    """A forest of the web scenario, grown on the access lines and kept as a table."""
+    """A forest of the web scenario, grown on the access lines, kept as a table and read back."""
     rows = _keyed(extract_features(access_entries(spark, sf_dir)))
     path = scratch_dir(spark, "model")
     forest.save_model(spark, forest.fit_profile(rows, KEYS, "web_server"), path)
     scored = forest.score_isolation_forest(rows, forest.load_model(spark, path))
-    return scored.groupBy("is_anomaly").agg(F.count(F.lit(1)).alias("lines"))
+    share = fixed.PROFILES["web_server"]
+    counted = scored.agg(F.count(F.lit(1)).alias("scored"), F.count_if("is_anomaly").alias("found"), F.count_if(F.col("anomaly_score") <= 0).alias("at_most"))
+    return counted.select(F.lit(share).alias("contamination"), "scored", within_share(F.col("found"), F.col("at_most"), F.col("scored"), share).alias("within_share"))
 
 
-@query("fit_profiles", "SELECT * FROM (VALUES " + ", ".join(
-    f"({lit(p)}, CAST({c} AS DOUBLE), (SELECT count(*) FROM events), true)" for p, c in fixed.PROFILES.items())
-    + ") v(profile, contamination, scored, within_share)")
-def fit_profiles(spark, sf_dir):
+@query("model_profiles", SQL_PROFILES)
+@query("fit_profiles", SQL_PROFILES)
+def model_profiles(spark, sf_dir):
     """A forest for every profile. Of the rows scored, its share are outliers within rounding; rows equal to the cut may be either."""
     return profile_counts(_keyed(mixed_features(spark, sf_dir))).select(
         "profile", "contamination", "scored",
@@ -1221,15 +1257,30 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         none("int").alias("status_code")))
 
 
-@query("fit_classifier")
+SQL_LABELLED = "(SELECT d.text, l.quality FROM documents d JOIN labels l USING (doc_id))"
+
+
+@query("fit_classifier", f"""SELECT count(*) FILTER (quality IS NOT NULL) AS samples_trained, string_agg(DISTINCT CAST(quality AS STRING), ',' ORDER BY CAST(quality AS STRING)) AS classes,
+ true AS learned FROM {SQL_LABELLED} x""")
 def fit_classifier(spark, sf_dir):
-    fitted = classifier.fit_classifier(labelled_documents(spark, sf_dir))
-    return spark.range(1).select(F.lit(fitted.samples_trained).alias("samples_trained"), F.lit(",".join(fitted.classes)).alias("classes"),
-                                 F.lit(fitted.accuracy >= 0.4).alias("learned"))
+    """Rows, classes, and whether the rows held out are told apart better than by the larger class alone."""
+    rows = labelled_documents(spark, sf_dir)
+    fitted = classifier.fit_classifier(rows)
+    larger = rows.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0]
+    return spark.range(1).select(F.lit(fitted.samples_trained).cast("bigint").alias("samples_trained"), F.lit(",".join(fitted.classes)).alias("classes"),
+                                 F.lit(fitted.accuracy > larger).alias("learned"))
 
 
-@query("predict_type")
+@query("predict_type", f"""SELECT length(regexp_replace(text, '[\\p{{L}}\\p{{N}} \\t\\n]', '', 'g')) > 20 AS is_anomaly, count(*) AS documents,
+ CASE WHEN is_anomaly THEN count(*) ELSE 0 END AS predicted, true AS classes_are_known, true AS loaded_agrees FROM {SQL_LABELLED} x GROUP BY 1""")
 def predict_type(spark, sf_dir):
-    rows = labelled_documents(spark, sf_dir).withColumn("is_anomaly", F.col("num_special_chars") > 20)
+    """Types of the documents flagged, of no others; a classifier that was stored and read back says the same."""
+    rows, path = labelled_documents(spark, sf_dir).withColumn("is_anomaly", F.col("num_special_chars") > 20), scratch_dir(spark, "classifier")
     fitted = classifier.fit_classifier(rows)
-    return classifier.predict_type(rows, fitted).groupBy("is_anomaly", "predicted_type").agg(F.count(F.lit(1)).alias("documents"))
+    classifier.save_classifier(fitted, path)
+    told = classifier.predict_type(rows, fitted)
+    again = classifier.predict_type(told.withColumnRenamed("predicted_type", "first_type"), classifier.load_classifier(path))
+    return again.groupBy("is_anomaly").agg(
+        F.count(F.lit(1)).alias("documents"), F.count("first_type").alias("predicted"),
+        F.coalesce(F.bool_and(F.col("first_type").isin(fitted.classes)), F.lit(True)).alias("classes_are_known"),
+        F.bool_and(F.col("first_type").eqNullSafe(F.col("predicted_type"))).alias("loaded_agrees"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog.functions import fixed_values as fixed
@@ -16,6 +17,7 @@ from emberlog.operators.alerts import make_alerts
 from emberlog.operators.correlate import correlate, correlation_members
 from emberlog.operators.findings import order_keys, stamp_literal
 from emberlog.operators.numbering import number_rows
+from emberlog.session import scratch_dir
 
 
 def write_anomalies(findings: DataFrame, path: str, *, mode: str = "append") -> None:
@@ -60,10 +62,6 @@ def write_correlations(findings: DataFrame, path: str, *, created_at: datetime |
     correlation_members(findings, groups).write.mode(mode).parquet(os.path.join(path, "members"))
 
 
-def write_session(sessions: DataFrame, path: str, *, mode: str = "append") -> None:
-    sessions.coalesce(1).write.mode(mode).parquet(path)
-
-
 def save_training(vectors: DataFrame, path: str, *, created_at: datetime | str, label: str = "label") -> None:
     """Append labelled feature vectors."""
     training_rows(vectors, created_at=created_at, label=label).write.mode("append").parquet(path)
@@ -142,9 +140,35 @@ def export(entries: DataFrame, findings: DataFrame, path: str, format: str = "js
         raise ValueError(f"unknown format: {format}")
 
 
-def sink_jsonl(events: DataFrame, path: str, *, max_records: int = 0, mode: str = "append", **names: str) -> None:
-    """Append events as JSON lines; a new file starts after ``max_records``."""
-    to_event_json(events, **names).write.mode(mode).option("maxRecordsPerFile", max_records).text(path)
+def sink_jsonl(events: DataFrame, path: str, *, max_records: int = 0, max_bytes: int = 0, mode: str = "append", **names: str) -> None:
+    """Append events as JSON lines; a new file starts after ``max_records``, or after the line that goes beyond ``max_bytes``."""
+    lines = to_event_json(events, **names)
+    if max_bytes:
+        write_rotated(lines, path, max_bytes=max_bytes, mode=mode)
+    else:
+        lines.write.mode(mode).option("maxRecordsPerFile", max_records).text(path)
+
+
+def write_rotated(lines: DataFrame, path: str, *, max_bytes: int, mode: str = "append") -> None:
+    """Write ``value`` as text in files that end with the line that goes beyond ``max_bytes``; one folder ``part=n`` per file.
+
+    Lines keep the order of their partitions. Each gets the number of bytes before it: those of its own partition, and
+    those of the partitions before, of which one row each is added up. A file is then the lines of one stretch of bytes.
+    """
+    spark = lines.sparkSession
+    place = F.monotonically_increasing_id()
+    sized = lines.select("value", (F.octet_length("value") + 1).cast("bigint").alias("n"), F.shiftright(place, 33).alias("task"), place.alias("place"))
+    folder = scratch_dir(spark, "rotated")
+    sized.write.parquet(folder)
+    rows = spark.read.schema(sized.schema).parquet(folder)
+    block = F.shiftright("place", 16)  # a window of at most 65,536 rows
+    blocks = rows.groupBy(block.alias("block")).agg(F.sum("n").alias("bytes"))
+    before = F.coalesce(F.sum("bytes").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("block", before.alias("before"))  # a row per 65,536 lines
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("block").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.withColumn("block", block).withColumn("inside", inside).join(starts, "block").withColumn(
+        "part", F.floor((F.col("before") + F.col("inside")) / max_bytes))
+    numbered.repartition("part").sortWithinPartitions("part", "place").select("value", "part").write.mode(mode).partitionBy("part").text(path)
 
 
 def sink_text(lines: DataFrame, path: str, *, mode: str = "append") -> None:
@@ -154,7 +178,7 @@ def sink_text(lines: DataFrame, path: str, *, mode: str = "append") -> None:
 
 Writer = Callable[[DataFrame, dict], None]
 SINK_TYPES: dict[str, Writer] = {
-    "file": lambda events, c: sink_jsonl(events, c["path"], max_records=c.get("max_records", 0), mode=c.get("mode", "append")),
+    "file": lambda events, c: sink_jsonl(events, c["path"], max_records=c.get("max_records", 0), max_bytes=c.get("max_bytes", 0), mode=c.get("mode", "append")),
     "syslog_text": lambda events, c: sink_text(
         to_syslog_line(events, facility=c.get("facility", "LOCAL0"), hostname=c.get("hostname", "-")), c["path"], mode=c.get("mode", "append")),
     "cef_text": lambda events, c: sink_text(to_cef_line(events, escape=c.get("escape", False)), c["path"], mode=c.get("mode", "append")),

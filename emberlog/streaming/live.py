@@ -1,38 +1,49 @@
-"""Live lines: files that land in a folder, rules with state, outbound events."""
+"""Live lines: growing files, rules with state, minutes of counts, outbound events."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from datetime import datetime
+import json
+import os
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
+from emberlog.functions import fixed_values as fixed
 from emberlog.functions.outbound import to_event
+from emberlog.functions.stamps import micros
+from emberlog.operators.findings import stamp_literal, union_findings
 from emberlog.operators.parse import parse_logs
-from emberlog.operators.rates import SECOND, api_requests, failed_logins, web_requests
+from emberlog.operators.rates import SECOND, api_findings, api_requests, brute_force_findings, ddos_findings, failed_logins, web_requests
+from emberlog.operators.reset_window import reset_window
 from emberlog.operators.signatures import (
     detect_off_hours, detect_sensitive_data, detect_signatures, detect_unauthorized)
+from emberlog.sources import growing
 from emberlog.sources.files import clean_line
 from emberlog.sources.sinks import SinkList
 
 LOG_FILES = "*.{log,txt,json}"
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_logs(spark: SparkSession, folder: str, *, files_per_trigger: int | None = None) -> DataFrame:
-    """Lines of every new file in a folder.
+def stream_logs(spark: SparkSession, paths: str | list[str], *, bytes_per_trigger: int, split_bytes: int = 32 << 20) -> DataFrame:
+    """Lines of files that grow: named files from their end on, folders with all their log files from the start.
 
-    The source takes whole new files: writers put finished files into the folder
-    instead of growing one. A stream has no line numbers; rules with state go by
-    event time.
+    ``line_number`` is the place of the line in its file, in bytes: it orders the lines and names them. A batch takes
+    at most ``bytes_per_trigger`` of each file.
     """
-    reader = spark.readStream.format("text").option("pathGlobFilter", LOG_FILES)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    growing.register(spark)
+    named = [paths] if isinstance(paths, str) else list(paths)
+    lines = (spark.readStream.format(growing.FORMAT).option("paths", json.dumps(named))
+             .option("bytesPerTrigger", bytes_per_trigger).option("splitBytes", split_bytes).load())
+    return lines.select("log_file", F.col("position").alias("line_number"), clean_line(F.col("value")).alias("raw_line")).filter("raw_line <> ''")
+
+
+def stream_finished(spark: SparkSession, folder: str, *, files_per_trigger: int) -> DataFrame:
+    """Lines of every new file in a folder into which finished files are put. They have no line numbers."""
+    reader = spark.readStream.format("text").option("pathGlobFilter", LOG_FILES).option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(folder).select(
         F.col("_metadata.file_path").alias("log_file"),
         F.lit(None).cast("bigint").alias("line_number"),
@@ -58,81 +69,137 @@ def stateless_findings(entries: DataFrame, *, ingest_ts: datetime | str) -> Data
             .unionByName(detect_off_hours(entries, ingest_ts=ingest_ts)))
 
 
-FIRES = "source_ip string, t bigint, log_file string, count bigint"
+@dataclass(frozen=True)
+class LiveRule:
+    """A reset-window rule on a stream: which rows it looks at, its window, and what its fires say."""
 
+    name: str
+    rows: Callable[..., DataFrame]
+    findings: Callable[..., DataFrame]
+    window_us: int
+    threshold: int
+    payload: list[str] = field(default_factory=list)
 
-class _ResetWindow(StatefulProcessor):
-    """Held times of one address between batches: at most ``threshold - 1``.
 
-    They are dropped when the watermark has left them behind, so that addresses
-    that fall silent leave no state.
-    """
+def brute_force_rule(*, attempts: int = 5, window_seconds: int = 300) -> LiveRule:
+    say = lambda events, ingest_ts: brute_force_findings(events, ingest_ts=ingest_ts, window_seconds=window_seconds)
+    return LiveRule("brute_force", failed_logins, say, window_seconds * SECOND, attempts, ["user", "raw_line"])
 
-    def __init__(self, window_us: int, threshold: int):
-        self.window_us, self.threshold = window_us, threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "t bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [t for (t,) in self.held.get()] if self.held.exists() else []
-        # one address of one micro-batch; the source's rate limit bounds it
-        batch = pd.concat(list(rows)).sort_values(["t", "log_file"])
-        fired = []
-        for t, log_file in batch[["t", "log_file"]].itertuples(index=False):
-            held = [h for h in held if t - h <= self.window_us] + [t]
-            if len(held) >= self.threshold:
-                fired.append((key[0], t, log_file, len(held)))
-                held = []
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if held:
-            self.held.put([(int(t),) for t in held])
-            self.handle.registerTimer((max(held) + self.window_us) // 1000 + 1)
-        else:
-            self.held.clear()
-        yield pd.DataFrame(fired, columns=["source_ip", "t", "log_file", "count"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.held.clear()
-        yield pd.DataFrame(columns=["source_ip", "t", "log_file", "count"])
-
-    def close(self) -> None:
-        pass
-
-
-def live_reset_window(rows: DataFrame, *, window_us: int, threshold: int, late: str) -> DataFrame:
-    """Fires of a reset-window rule on a stream of ``source_ip``, ``t``, ``ts``, ``log_file``.
-
-    Rows of an address are taken by event time within a batch, batches in their
-    order of arrival; rows later than ``late``, which the caller must choose, are
-    left out. Only lines with a stamp of their own (``ts``) move the watermark: an
-    undated line counts at the time ``t`` it was given and makes no other line late.
-    Sets the session's state store to RocksDB, which this kind of state needs.
-    """
-    rows.sparkSession.conf.set(STATE_STORE, ROCKSDB)
-    timed = rows.select("source_ip", "t", "log_file", F.col("ts").cast("timestamp").alias("at")).withWatermark("at", late)
-    return timed.groupBy("source_ip").transformWithStateInPandas(
-        _ResetWindow(window_us, threshold), outputStructType=FIRES, outputMode="append", timeMode="eventtime")
+
+def ddos_rule(*, requests: int = 100, window_seconds: int = 60) -> LiveRule:
+    say = lambda events, ingest_ts: ddos_findings(events, ingest_ts=ingest_ts, window_seconds=window_seconds)
+    return LiveRule("ddos", web_requests, say, window_seconds * SECOND, requests)
 
 
-def live_brute_force(entries: DataFrame, *, ingest_ts: datetime | str, late: str, attempts: int = 5,
-                     window_seconds: int = 300) -> DataFrame:
-    return live_reset_window(failed_logins(entries, ingest_ts=ingest_ts), window_us=window_seconds * SECOND,
-                             threshold=attempts, late=late)
+def api_abuse_rule(*, requests: int = 50, window_seconds: int = 60) -> LiveRule:
+    say = lambda events, ingest_ts: api_findings(events, ingest_ts=ingest_ts)
+    return LiveRule("api_abuse", api_requests, say, window_seconds * SECOND - 1, requests, ["endpoint", "raw_line"])
 
 
-def live_ddos(entries: DataFrame, *, ingest_ts: datetime | str, late: str, requests: int = 100,
-              window_seconds: int = 60) -> DataFrame:
-    return live_reset_window(web_requests(entries, ingest_ts=ingest_ts), window_us=window_seconds * SECOND,
-                             threshold=requests, late=late)
+class LiveRun:
+    """A run over a stream of lines, batch by batch, in tables under ``folder``.
 
+    Each batch has its own part of every table and writes it anew when it is replayed:
 
-def live_api_abuse(entries: DataFrame, *, ingest_ts: datetime | str, late: str, requests: int = 50,
-                   window_seconds: int = 60) -> DataFrame:
-    return live_reset_window(api_requests(entries, ingest_ts=ingest_ts), window_us=window_seconds * SECOND - 1,
-                             threshold=requests, late=late)
+    * ``entries``: the parsed lines, with ``late``: whether the line's own stamp is more than ``late`` older than the
+      newest stamp of the batches before. Late lines are kept and counted; no rule judges them.
+    * ``events/<rule>``: fires of the batch, and what each address holds at its end. The next batch starts from there, so a
+      rule runs over a batch as over a stored table, with rows of one address spread over tasks. Addresses whose
+      rows are out of reach of every line that may still come hold nothing any more.
+    * ``findings``: all findings of the batch; ``minutes``: counts by minute, as rows that add up.
+    * ``progress``: newest stamp, lines read, lines judged and lines that came late.
+
+    Rows of an address are taken by event time within a batch, batches in their order. Undated lines count at
+    ``ingest_ts``; they are never late and make no other line late.
+    """
+
+    def __init__(self, folder: str, rules: list[LiveRule], *, default_year: int, ingest_ts: datetime | str, late_seconds: int, single_line: bool = True,
+                 sinks: SinkList | None = None):
+        self.folder, self.rules, self.default_year, self.ingest_ts = folder, rules, default_year, ingest_ts
+        self.late_us, self.single_line, self.sinks = late_seconds * SECOND, single_line, sinks
+
+    def path(self, table: str, batch: int | None = None) -> str:
+        return os.path.join(self.folder, table, *([f"batch={batch}"] if batch is not None else []))
+
+    def _put(self, rows: DataFrame, table: str, batch: int) -> DataFrame:
+        rows.write.mode("overwrite").parquet(self.path(table, batch))
+        return rows.sparkSession.read.schema(rows.schema).parquet(self.path(table, batch))
+
+    def table(self, spark: SparkSession, table: str) -> DataFrame:
+        """All batches of a table, with their number in ``batch``."""
+        return spark.read.parquet(self.path(table))
+
+    def newest(self, spark: SparkSession, before: int) -> int | None:
+        """The newest stamp of the batches before a batch, in microseconds."""
+        if before == 0:
+            return None
+        return self.table(spark, "progress").filter(F.col("batch") < before).agg(F.max("newest")).first()[0]
+
+    def take(self, lines: DataFrame, batch: int) -> None:
+        """Judge one batch."""
+        spark = lines.sparkSession
+        newest = self.newest(spark, batch)
+        entries = parse_logs(lines, default_year=self.default_year)
+        stamp = micros(F.col("ts"))
+        late = F.coalesce(stamp < F.lit(newest - self.late_us), F.lit(False)) if newest is not None else F.lit(False)
+        entries = self._put(entries.withColumn("late", late), "entries", batch)
+        n, n_late, top = entries.agg(F.count(F.lit(1)), F.count_if(F.col("late")), F.max(stamp)).first()
+        top = max((x for x in (newest, top) if x is not None), default=None)
+        judged = entries.filter(~F.col("late")).drop("late")
+        found = []
+        for rule in self.rules:
+            events = self._put(self._events(rule, judged, batch, newest), f"events/{rule.name}", batch)
+            found.append(rule.findings(events.filter("kind = 'fire'"), self.ingest_ts))
+        if self.single_line:
+            found.append(stateless_findings(judged, ingest_ts=self.ingest_ts))
+        findings = self._put(union_findings(*found), "findings", batch)
+        self._put(minute_counts(findings), "minutes", batch)
+        if self.sinks is not None:
+            self.sinks.fan_out(to_event(findings), batch=batch)
+        # last: a batch without this row is taken again
+        self._put(spark.createDataFrame([(top, n, n - n_late, n_late)], "newest bigint, n_lines bigint, n_judged bigint, n_late bigint"), "progress", batch)
+
+    def _events(self, rule: LiveRule, judged: DataFrame, batch: int, newest: int | None) -> DataFrame:
+        held = None
+        if batch:
+            before = judged.sparkSession.read.parquet(self.path(f"events/{rule.name}", batch - 1))
+            held = before.filter("kind = 'held'").select("source_ip", F.col("times").alias("held"))
+            if newest is not None:  # older times are out of reach of every line that this batch judges
+                undated = int(datetime.fromisoformat(str(self.ingest_ts)).replace(tzinfo=timezone.utc).timestamp() * SECOND)
+                held = held.filter(F.array_max("held") + rule.window_us >= min(newest - self.late_us, undated))
+        return reset_window(rule.rows(judged, ingest_ts=self.ingest_ts), window_us=rule.window_us, threshold=rule.threshold, order="event_time",
+                            payload=rule.payload, entering=held)
+
+    def start(self, lines: DataFrame, *, checkpoint: str, every: str = "1 second") -> DataStreamWriter:
+        """The writer of a stream of ``log_file``, ``line_number``, ``raw_line``; ``start()`` runs it."""
+        return tail_follow(lines, self.take, checkpoint=checkpoint, every=every)
+
+
+SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
+
+
+def minute_counts(findings: DataFrame, time_column: str = "event_ts") -> DataFrame:
+    """Findings by minute: counts by severity and a sketch of the addresses. Rows of one minute add up."""
+    return findings.groupBy(F.date_trunc("minute", time_column).alias("minute")).agg(
+        F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("source_ip").alias("addresses"), *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+
+
+def metrics_from_minutes(minutes: DataFrame, *, as_of: datetime | str) -> DataFrame:
+    """``dashboards.live_metrics`` from rows of ``minute_counts``, whole minutes back from ``as_of``.
+
+    Counts are exact. ``active_ips`` is estimated from sketches of 2^12 registers: within 4 % in 95 of 100 cases.
+    """
+    at = stamp_literal(as_of)
+    ago = lambda minutes: F.date_trunc("minute", at) - F.make_dt_interval(mins=F.lit(minutes))
+    recent = minutes.filter((F.col("minute") >= ago(60)) & (F.col("minute") <= at))
+    none = F.lit(0).cast("bigint")
+    total = recent.agg(
+        F.coalesce(F.sum(F.when(F.col("minute") >= ago(5), F.col("n"))), none).alias("last_5min"), F.coalesce(F.sum("n"), none).alias("last_hour"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("addresses")), none).alias("active_ips"), *[F.coalesce(F.sum(s), none).alias(s) for s in SEVERITIES])
+    ranked = F.array(*[F.struct(F.col(s).alias("n"), F.lit(r).alias("rank"), F.lit(s).alias("name")) for s, r in fixed.SEVERITY_RANK.items() if s in SEVERITIES])
+    return total.select(
+        "last_5min", "last_hour", F.round(F.col("last_hour") / 60, 2).alias("rate_per_min"),
+        F.when(F.col("last_hour") > 0, F.array_max(ranked)["name"]).otherwise("N/A").alias("dominant_severity"), "active_ips", *SEVERITIES)
 
 
 def live_counts(findings: DataFrame, *, late: str, width: str = "5 minutes") -> DataFrame:

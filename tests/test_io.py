@@ -11,7 +11,7 @@ from emberlog.operators.parse import parse_logs
 from emberlog.operators.signatures import detect_off_hours, detect_signatures, detect_unauthorized
 from emberlog.plans.pipeline import analyse
 from emberlog.session import scratch_dir
-from emberlog.sources import files, sinks
+from emberlog.sources import files, sinks, tables
 from emberlog.streaming import live
 
 NOW = "2024-04-01 00:00:00"
@@ -77,8 +77,62 @@ def test_alerts_and_sessions(spark, lines):
     assert [(r["anomaly_type"], r["source_ip"]) for r in left] == [("PATH_TRAVERSAL", "10.0.0.1")]
     begun = alerts.start_session(spark, session_id="s", start=NOW)
     ended = alerts.session_row(web_lines(lines), found, session_id="s", start=NOW, end=NOW)
-    row = alerts.upsert_sessions(begun, ended).first()
-    assert (row["total_lines"], row["anomalies_found"], row["status"]) == (5, 2, "COMPLETED")
+    path = scratch_dir(spark, "sessions")
+    for rows in (begun, ended, ended, alerts.start_session(spark, session_id="t/1 =x", start=NOW)):
+        tables.write_sessions(rows, path)
+    got = {r["session_id"]: (r["total_lines"], r["anomalies_found"], r["status"]) for r in tables.stored_sessions(spark, path).collect()}
+    assert got == {"s": (5, 2, "COMPLETED"), "t/1 =x": (None, None, "RUNNING")}
+    tables.end_session(spark, path, "t/1 =x", end=NOW, total_lines=7)
+    assert tables.stored_sessions(spark, path).filter("session_id = 't/1 =x' AND status = 'COMPLETED' AND total_lines = 7").count() == 1
+
+
+def test_a_failed_write_leaves_the_stored_rows(spark):
+    path = scratch_dir(spark, "sessions")
+    tables.write_sessions(alerts.start_session(spark, session_id="s", start=NOW), path)
+    bad = alerts.start_session(spark, session_id="s", start=NOW).withColumn("notes", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_sessions(bad, path)
+    assert [r["status"] for r in tables.stored_sessions(spark, path).collect()] == ["RUNNING"]
+
+
+def test_sessions_are_cleared_from_storage(spark, lines):
+    found, path = detect_signatures(web_lines(lines), ingest_ts=NOW), scratch_dir(spark, "findings")
+    assert tables.stored_findings(spark, path).count() == 0
+    for name in ("a", "b", None):
+        tables.write_session_findings(found.withColumn("session_id", F.lit(name).cast("string")), path)
+    assert tables.stored_findings(spark, path).count() == 6
+    assert tables.clear_findings(spark, path, "a") == 2 and tables.clear_findings(spark, path, "a") == 0
+    assert {r["session_id"] for r in tables.stored_findings(spark, path).collect()} == {"b", None}
+    tables.write_session_findings(found.withColumn("session_id", F.lit("b")).limit(1), path)
+    assert tables.stored_findings(spark, path).filter("session_id = 'b'").count() == 1
+    assert tables.clear_findings(spark, path) == 3 and tables.stored_findings(spark, path).count() == 0
+
+
+def test_text_does_not_move_for_its_line_numbers(spark, tmp_path):
+    """With broadcasting off, too, no exchange holds the lines; numbers are right over many blocks of many files."""
+    for name in ("a.log", "b.log"):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" if i % 3 else "\n" for i in range(1, 4001)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(old, ("-1", "3000", "100"), strict=True):
+            spark.conf.set(k, v)
+        rows = files.read_logs(spark, str(tmp_path))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan
+        moved = [line for line in plan.splitlines() if "Exchange" in line]
+        assert moved and not any("value" in line or "log_file" in line for line in moved)
+        got = [(r["raw_line"], r["line_number"]) for r in rows.collect()]
+        assert len(got) == 2 * 2667 and all(int(text.split()[1]) == number for text, number in got)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_rotation_keeps_order_and_bounds_files(spark):
+    lines, path = spark.range(5000).repartition(5).select(F.repeat(F.col("id").cast("string"), 7).alias("value")), scratch_dir(spark, "rotated")
+    sinks.write_rotated(lines, path, max_bytes=9000)
+    sizes = [r["n"] for r in spark.read.text(path).groupBy("part").agg(F.sum(F.length("value") + 1).alias("n")).orderBy("part").collect()]
+    assert max(sizes) <= 9000 + 29 and min(sizes[:-1]) > 9000 - 29 and spark.read.text(path).distinct().count() == 5000
 
 
 def test_off_hours_switch(lines):
@@ -134,15 +188,13 @@ def test_stream_in_batches_equals_batch(spark, lines, tmp_path):
         (tmp_path / f"part{n}.log").write_text("\n".join(texts[n * 10:n * 10 + 10]) + "\n")
         os.utime(tmp_path / f"part{n}.log", (1000 + n, 1000 + n))
     (tmp_path / "ignored.gz").write_text("x")
-    stream = live.parse_stream(live.stream_logs(spark, str(tmp_path), files_per_trigger=1), default_year=2024)
-    out = scratch_dir(spark, "out")
-    query = (live.live_brute_force(stream, ingest_ts=NOW, late="10 minutes", attempts=4, window_seconds=100).writeStream.format("parquet")
-             .option("checkpointLocation", scratch_dir(spark, "checkpoint")).trigger(availableNow=True).start(out))
-    query.awaitTermination()
+    run = live.LiveRun(scratch_dir(spark, "run"), [live.brute_force_rule(attempts=4, window_seconds=100)], default_year=2024, ingest_ts=NOW, late_seconds=600, single_line=False)
+    lines_in = live.stream_finished(spark, str(tmp_path), files_per_trigger=1)
+    run.start(lines_in, checkpoint=scratch_dir(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert run.table(spark, "progress").count() == 6
     from emberlog.operators.rates import detect_brute_force
     batch = detect_brute_force(parse_logs(lines(texts), default_year=2024), ingest_ts=NOW, attempts=4, window_seconds=100)
-    got = [(r["source_ip"], r["at"]) for r in spark.read.parquet(out).select(
-        "source_ip", F.timestamp_micros("t").cast("timestamp_ntz").alias("at")).collect()]
+    got = [(r["source_ip"], r["event_ts"]) for r in run.table(spark, "findings").collect()]
     assert sorted(got) == sorted((r["source_ip"], r["event_ts"]) for r in batch.collect()) and got
 
 
