@@ -71,7 +71,8 @@ def test_all_texts_agree_with_whole_texts(make, files, pairs):
 
 def test_random_texts_split_like_whole_ones(files):
     draw, pair = random.Random(5), token_bridge.Pair(*files)
-    alphabet = ["a", "b", "the", "ing", ".", ",", "'s", " ", " ", "  ", "\n", "\t", "é", "日", "\U0001f469‍\U0001f680", "▁", " ", "　", "7", "A", "<s>", "\x1f", "\u0085"]
+    assert pair.tail_marks >= set(",.;!?")
+    alphabet = ["a", "b", "the", "ing", ".", ",", "; ", "x. ", "é, ", "²., ", "!! ", "'s", " ", " ", "  ", "\n", "\t", "é", "日", "\U0001f469‍\U0001f680", "▁", " ", "　", "7", "A", "<s>", "\x1f", "\u0085"]
     for _ in range(1500):
         text = "".join(draw.choice(alphabet) for _ in range(draw.randrange(1, 14)))
         a, b = plain_tokens(pair, text)
@@ -82,13 +83,22 @@ def test_random_texts_split_like_whole_ones(files):
 
 def test_coarse_cuts_are_the_spans_of_the_libraries(files):
     pair = token_bridge.Pair(*files)
-    a, a_end, b, b_end, base = pair._ends([" été 漢".encode()], [pair.a.encode(" été 漢").ids], [pair.a.encode(" été 漢").offsets],
-                                          [[q.id for q in pair._protos(["été 漢"])[0].pieces]], [[q.end for q in pair._protos(["été 漢"])[0].pieces]])
-    assert a_end.tolist()[-1] == b_end.tolist()[-1] == base[-1] == 10
+    found, (b_ids, b_spans) = pair.a.encode(" été 漢"), pair._spans(["été 漢"])[0]
+    a, a_end, b, b_end = pair._ends([" été 漢".encode()], [found.ids], [found.offsets], [b_ids], [b_spans])
+    assert a_end.tolist()[-1] == b_end.tolist()[-1] == 10
     assert [pair.a_bytes[i] for i in a] == [" été 漢".encode()[s:e] for s, e in zip([0, *a_end], a_end)]
     assert [pair.b_bytes[i] for i in b] == [" été 漢".encode()[s:e] for s, e in zip([0, *b_end], b_end)]
 
 
+def test_joined_parts_agree_with_single_ones(files):
+    draw, pair = random.Random(8), token_bridge.Pair(*files)
+    for _ in range(60):
+        parts = ["".join(draw.choice(["a", "the", "ing", "é", "日", ".", "'s", "  ", "\n", "9", "\U0001f600"]) for _ in range(draw.randrange(1, 9))) + "x" for _ in range(40)]
+        one, many = pair.align(parts), pair.align_joined(parts)
+        assert many is not None and one[2] == many[2] and all((x == y).all() for x, y in ((one[i], many[i]) for i in (0, 1, 3, 4)))
+    assert pair.align_joined(["a", "▁b"]) is None
+
+
 def test_the_cache_is_bounded_and_forgets(files, monkeypatch):
     monkeypatch.setattr(token_bridge, "CACHED", 5)
     pair = token_bridge.Pair(*files)
