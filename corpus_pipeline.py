@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bench_prefix, cube_mix, line_winnow, quality_fences, shingle_join
+from emberlog.llm import bench_prefix, cube_mix, golay_simhash, line_winnow, quality_fences
 from emberlog.llm.rows import read, stored
 
 
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays."""
-    return shingle_join.drop_copies(docs)
+    """One row of each group whose SimHash fingerprints (three-word shingles) link at two or fewer bits stays."""
+    return golay_simhash.drop_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm import ragged
-from emberlog.llm.rows import KEY, KEY_DDL, anchored, located, scan, stored, whole_rows
+from emberlog.llm.rows import KEY, KEY_DDL, anchored, free_name, located, scan, stored, whole_rows
 from emberlog.operators.numbering import number_rows
 
 WEIGHTS = (1, 2, 3)
@@ -166,10 +166,11 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
 
 
 def take(docs: DataFrame, *, copy: str = "copy", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with a column that numbers its copies from 1."""
+    """The mix itself: every row of ``docs`` as often as it is taken, with a column that numbers its copies from 1
+    (``copy``, with underscores behind it where ``docs`` has a column of that name)."""
     docs = anchored(docs)
     mixed = mix(docs, weights=weights, most=most, seed=seed).filter("copies > 0")
     picked = stored(mixed.select(*[F.col(k).alias(f"of_{k}") for k in KEY], F.col("copies").alias("of_copies")), "taken")
     rows, names = whole_rows(docs)
-    joined = rows.join(picked, [rows[n] == picked[f"of_{k}"] for n, k in zip(names, KEY, strict=True)])
-    return joined.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("of_copies").cast("int"))).alias(copy))
+    joined = rows.join(picked.hint("shuffle_hash"), [rows[n] == picked[f"of_{k}"] for n, k in zip(names, KEY, strict=True)])
+    return joined.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("of_copies").cast("int"))).alias(free_name(docs, copy)))

@@ -226,4 +226,4 @@ def drop_copies(docs: DataFrame, *, size: int = SHINGLE, seed: int = SEED, crowd
     docs = anchored(docs)
     found = groups(docs, size=size, seed=seed, crowd=crowd)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("first"))
-    return chosen_rows(docs, stored(first.select(*[f"first.{k}" for k in KEY]), "kept"), "left_semi")
+    return chosen_rows(docs, stored(first.select(*[f"first.{k}" for k in KEY]), "kept"), "left_semi", many=True)

@@ -243,6 +243,6 @@ def remove_repeats(docs: DataFrame, *, line: int = LINE, window: int = WINDOW) -
     found = stored(_per_row(docs, line, window).filter("spans IS NOT NULL"), "spans")
     gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["stop"] - s["start"]) >= F.col("n_words")
     found = found.select(F.col(KEY[0]).alias("found_file"), F.col(KEY[1]).alias("found_at"), F.struct("spans", gone.alias("gone")).alias("found"))
-    joined = rows.join(found, (rows[names[0]] == found["found_file"]) & (rows[names[1]] == found["found_at"]), "left")
+    joined = rows.join(found.hint("shuffle_hash"), (rows[names[0]] == found["found_file"]) & (rows[names[1]] == found["found_at"]), "left")
     kept = joined.filter(~F.coalesce(found["found"]["gone"], F.lit(False)))
     return kept.select(*[shortened(rows[c], found["found"]["spans"]).alias(c) if c == "text" else rows[c] for c in docs.columns])

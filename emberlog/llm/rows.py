@@ -66,18 +66,28 @@ def located(docs: DataFrame, *columns: str) -> DataFrame:
     return anchored(docs, *columns).select(*place, *columns)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from the columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for i in itertools.count() if (n := name + "_" * i).lower() not in taken)
+
+
 def whole_rows(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """All columns of ``docs`` and a key, whose names no column of ``docs`` has."""
-    taken = {c.lower() for c in docs.columns}
-    names = [next(n for i in itertools.count() if (n := k + "_" * i).lower() not in taken) for k in KEY]
+    names = [free_name(docs, k) for k in KEY]
     found = located(docs, *docs.columns)
     return found.toDF(*names, *docs.columns), names
 
 
-def chosen_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """The rows of ``docs`` (anchored) whose KEY is among ``keys`` (``left_semi``) or is not (``left_anti``)."""
+def chosen_rows(docs: DataFrame, keys: DataFrame, how: str, *, many: bool = False) -> DataFrame:
+    """The rows of ``docs`` (anchored) whose KEY is among ``keys`` (``left_semi``) or is not (``left_anti``).
+
+    ``many`` says that the keys are a share of all rows: they meet the rows by a shuffle whatever their number, are hashed,
+    and no text is sorted.
+    """
     rows, names = whole_rows(docs)
     picked = keys.select(*[F.col(k).alias(f"of_{k}") for k in KEY])
+    picked = picked.hint("shuffle_hash") if many else picked
     return rows.join(picked, [rows[n] == picked[f"of_{k}"] for n, k in zip(names, KEY, strict=True)], how).select(*[rows[c] for c in docs.columns])
 
 

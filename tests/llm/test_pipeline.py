@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
 
+from emberlog.llm import cube_mix  # noqa: E402
 from emberlog.llm.rows import read, stored  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -102,6 +103,11 @@ def test_stages(spark):
     assert np.all([LETTERS.findall(lower(r["text"])) != [] for r in kept["mixing"]])
 
 
+def test_the_copy_column_stands_beside_one_of_that_name(spark, make):
+    taken = stored(cube_mix.take(make([(i, "a few words of text", "en", f"s{i % 3}") for i in range(60)])), "taken")
+    assert taken.columns[-1] == "copy_" and taken.agg({"copy_": "min"}).first()[0] == 1
+
+
 def test_all_queries_are_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries() and corpus_pipeline.ORACLE_SQL is None
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries() and corpus_pipeline.ORACLE_SQL is None
