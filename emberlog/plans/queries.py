@@ -725,8 +725,8 @@ def read_correlations(spark, sf_dir):
     """Groups newest first; here the groups were made in the order of their addresses, backwards."""
     groups = correlate.correlate(access_findings(spark, sf_dir)).withColumns({
         "created_at": F.lit(0), "group_id": F.col("source_ip")})
-    listed = correlate.read_correlations(groups)
-    return numbering.number_rows(listed, F.desc("created_at"), "group_id", name="n").select(
+    listed = correlate.read_correlations(groups).withColumn("place", F.monotonically_increasing_id())  # the order they come in
+    return numbering.number_rows(listed, "place", name="n").select(
         "n", "source_ip", F.array_join("attack_types", ",").alias("attack_types"))
 
 

@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -102,25 +102,30 @@ def export_csv(findings: DataFrame, path: str, *, mode: str = "overwrite") -> No
 
 
 def report_summary(entries: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row: totals, counts by severity and type, first addresses, advice."""
-    def gathered(df: DataFrame, key: str, name: str) -> DataFrame:
-        pairs = F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "count"))))
-        return df.agg(pairs.alias(name)).withColumn("_one", F.lit(1))
+    """One row: totals, counts by severity and type, first addresses, advice.
 
-    one = lambda df: df.withColumn("_one", F.lit(1))
+    The findings are read once for all counts, by type and severity, and once by address; what is then put together are a
+    few dozen counts and the first addresses.
+    """
+    cells = findings.groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("type", "severity", "n")).alias("cells"))
+
+    def by(key: str) -> Column:
+        names = F.array_sort(F.array_distinct(F.filter(F.transform("cells", lambda c: c[key]), lambda k: k.isNotNull())))
+        own = lambda k: F.aggregate(F.filter("cells", lambda c: c[key] == k), F.lit(0).cast("bigint"), lambda total, c: total + c["n"])
+        return F.map_from_arrays(names, F.transform(names, own))
+
+    totals = cells.select(F.aggregate("cells", F.lit(0).cast("bigint"), lambda total, c: total + c["n"]).alias("total_anomalies"),
+                          by("severity").alias("by_severity"), by("type").alias("by_type"))
     leaders = dashboards.top_ips(findings).agg(F.sort_array(F.collect_list(F.struct(
-        (-F.col("count")).alias("n"), "source_ip"))).alias("_l"))
-    top = one(leaders.select(F.transform("_l", lambda r: F.struct(
-        r["source_ip"].alias("ip"), (-r["n"]).alias("count"))).alias("top_ips")))
+        (-F.col("count")).alias("n"), "source_ip"))).alias("leaders"))
+    top = leaders.select(F.transform("leaders", lambda r: F.struct(r["source_ip"].alias("ip"), (-r["n"]).alias("count"))).alias("top_ips"))
     advice = dashboards.recommendations(findings).agg(F.transform(
         F.sort_array(F.collect_list(F.struct("position", "recommendation"))),
         lambda r: r["recommendation"]).alias("recommendations"))
-    # each side is a single row
-    return (one(entries.agg(F.count(F.lit(1)).alias("total_entries_processed")))
-            .join(one(findings.agg(F.count(F.lit(1)).alias("total_anomalies"))), "_one")
-            .join(gathered(dashboards.by_severity(findings), "severity", "by_severity"), "_one")
-            .join(gathered(dashboards.by_type(findings), "type", "by_type"), "_one")
-            .join(top, "_one").join(one(advice), "_one").drop("_one"))
+    row = entries.agg(F.count(F.lit(1)).alias("total_entries_processed"))
+    for side in (totals, top, advice):  # a single row each
+        row = row.join(F.broadcast(side), F.lit(True))
+    return row
 
 
 def export_json(entries: DataFrame, findings: DataFrame, path: str, *, mode: str = "overwrite") -> None:
