@@ -65,8 +65,13 @@ def auth_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries_of(spark, sf_dir, "auth", "syslog")
 
 
+#: What the rules for single lines read of an entry.
+RULE_COLUMNS = ["log_file", "line_number", "raw_line", "log_type", "ts", "source_ip", "status", "target", "url"]
+
+
 def access_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = access_entries(spark, sf_dir)
+    """What both rules find. The entries are parsed once and written, since each rule reads them."""
+    entries = stored_frame(access_entries(spark, sf_dir).select(*RULE_COLUMNS), "rule-entries")
     return signatures.detect_signatures(entries, ingest_ts=INGEST).unionByName(
         signatures.detect_unauthorized(entries, ingest_ts=INGEST))
 
@@ -77,6 +82,12 @@ def stored(df: DataFrame, label: str, write: Callable[[DataFrame, str], None]) -
     return path
 
 
+def stored_frame(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def entry_rows(entries: DataFrame) -> DataFrame:
     return entries.select(
         "log_file", "line_number", "log_type", clock_text(F.col("ts")).alias("ts"), "source_ip", F.col("user").alias("user_name"),
@@ -661,11 +672,12 @@ def write_alerts(spark, sf_dir):
  ORDER BY created_at DESC, source_ip, alert_type LIMIT 50""")
 def unread_alerts(spark, sf_dir):
     """XSS alerts have been read; the rest is listed newest first, alerts at their event time."""
-    rows = access_findings(spark, sf_dir)
+    rows = stored_frame(access_findings(spark, sf_dir), "findings")
     made = alerts.make_alerts(rows.withColumn("detected_ts", F.col("event_ts"))).withColumn(
         "alert_id", F.struct("anomaly_id"))
     ids = rows.select(F.col("id").alias("anomaly_id"), F.struct("source_ip", "type").alias("key"))
-    made = made.join(ids, "anomaly_id").withColumn("alert_id", F.col("key")).drop("key")
+    # Spark guesses the size of computed rows from that of their file, far too low, and would broadcast them
+    made = made.join(ids.hint("merge"), "anomaly_id").withColumn("alert_id", F.col("key")).drop("key")
     read = made.filter("alert_type = 'XSS'").select("alert_id")
     actions = read.withColumns({"action": F.lit("read"), "acted_at": F.lit(None).cast("timestamp_ntz")})
     return alerts.unread_alerts(made, rows, actions).select(
@@ -717,7 +729,7 @@ def write_correlations(spark, sf_dir):
                   lambda df, p: sinks.write_correlations(df, p, created_at=INGEST))
     groups, members = spark.read.parquet(f"{path}/groups"), spark.read.parquet(f"{path}/members")
     sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"))
-    return groups.join(sizes, "group_id").select("source_ip", "count", "members")
+    return groups.join(sizes.hint("merge"), "group_id").select("source_ip", "count", "members")  # a row per address: never broadcast
 
 
 @query("read_correlations", f"SELECT row_number() OVER (ORDER BY source_ip) AS n, source_ip, attack_types FROM ({SQL_CORRELATE}) g")
@@ -1203,12 +1215,6 @@ def ml_findings(spark, sf_dir):
         "known_addresses", "of_known_addresses", (F.col("n") > 0).alias("some_are_found"), "all_are_sure", (F.col("n") == F.col("wanted")).alias("none_is_lost"))
 
 
-def stored_frame(df: DataFrame, label: str) -> DataFrame:
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 SQL_PROFILES = "SELECT * FROM (VALUES " + ", ".join(
     f"({lit(p)}, CAST({c} AS DOUBLE), (SELECT count(*) FROM events), true)" for p, c in fixed.PROFILES.items()) + ") v(profile, contamination, scored, within_share)"
 

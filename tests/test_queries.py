@@ -42,6 +42,12 @@ def test_line_work_only_spreads(spark, name):
     assert text.count("Exchange") == text.count("RoundRobinPartitioning") <= 1
 
 
+def test_alerts_meet_their_findings_by_a_shuffle(spark):
+    """The findings are computed once, and their join is never a broadcast, whatever Spark takes their size for."""
+    text = plan(spark, "unread_alerts")
+    assert "SortMergeJoin [anomaly_id" in text and "Generate" not in text
+
+
 def test_every_written_folder_is_read(spark):
     good, note = compare(spark, SMALL, "read_many")
     assert good, note
