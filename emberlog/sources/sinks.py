@@ -56,7 +56,10 @@ def write_alerts(findings: DataFrame, path: str, *, mode: str = "append") -> Non
 
 def write_correlations(findings: DataFrame, path: str, *, created_at: datetime | str, session_id: str | None = None,
                        mode: str = "append") -> None:
-    """Groups and their members, as two tables."""
+    """Groups and their members, as two tables. The findings are worked out once."""
+    slim, path_of_slim = findings.select("id", "type", "source_ip"), scratch_dir(findings.sparkSession, "correlated")
+    slim.write.parquet(path_of_slim)
+    findings = findings.sparkSession.read.schema(slim.schema).parquet(path_of_slim)
     groups = correlate(findings, session_id=session_id)
     groups.withColumn("created_at", stamp_literal(created_at)).write.mode(mode).parquet(os.path.join(path, "groups"))
     correlation_members(findings, groups).write.mode(mode).parquet(os.path.join(path, "members"))

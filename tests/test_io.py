@@ -68,6 +68,18 @@ def test_findings_and_correlation(lines):
     assert dashboards.top_threats(calm).count() == 2 and dashboards.top_threats(found).count() == 2
 
 
+def test_members_are_found_without_a_broadcast(spark):
+    """Findings that look small to Spark, here as a few rows, are not sent to the driver to be broadcast."""
+    schema = "id bigint, type string, source_ip string"
+    found = spark.createDataFrame([(i, ("XSS", "XXE")[i % 2], f"10.0.0.{i % 3}") for i in range(12)], schema)
+    members = correlation_members(found, correlate(found))
+    assert "Broadcast" not in members._jdf.queryExecution().executedPlan().toString()
+    assert members.count() == 12 and members.select("group_id").distinct().count() == 3
+    path = scratch_dir(spark, "correlations")
+    sinks.write_correlations(found, path, created_at="2024-02-01 00:00:00")
+    assert spark.read.parquet(f"{path}/members").count() == 12 and spark.read.parquet(f"{path}/groups").count() == 3
+
+
 def test_alerts_and_sessions(spark, lines):
     found = detect_signatures(web_lines(lines), ingest_ts=NOW)
     made = alerts.make_alerts(found)
