@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,29 @@ def test_forest_finds_far_rows_and_repeats(spark, rows):
     assert forest.score_isolation_forest(rows, loaded).filter("is_anomaly").count() == model.anomalies_found
 
 
+def test_blocks_of_rows_end_in_the_leaves_that_single_rows_end_in():
+    """Against a walk of one row through one tree at a time; a missing value goes right, a tree may be a single leaf."""
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 5, (700, len(FEATURES))).astype(float)
+    values[::50, 2] = np.nan
+    columns = ["feature", "cut", "left", "right", "depth"]
+    sample = np.nan_to_num(values)
+    grown = [pd.DataFrame(forest._grow(rows, np.random.default_rng(i), 8), columns=columns)
+             for i, rows in enumerate([sample[:256], sample[100:300], sample[:1], sample[:2]])]
+
+    def walked(row) -> float:
+        total = 0.0
+        for tree in grown:
+            node = tree.loc[0]
+            while node["feature"] >= 0:
+                node = tree.loc[int(node["left"] if row[int(node["feature"])] <= node["cut"] else node["right"])]
+            total += node["depth"]
+        return total
+
+    got = forest._total_depth(values.T, [forest._packed(tree) for tree in grown])
+    assert got.tolist() == [walked(row) for row in values]
+
+
 def test_forest_needs_rows(rows):
     with pytest.raises(ValueError):
         forest.fit_isolation_forest(rows.limit(19), ["id"])
