@@ -1151,7 +1151,8 @@ _SQL_SCALED = ", ".join(f"""round(({n} - avg({n}) OVER ()) / CASE WHEN stddev_po
 
 @query("scale", f"SELECT line_number, {_SQL_SCALED} FROM ({SQL_FEATURES}) f")
 def scale_query(spark, sf_dir):
-    scaled = scale(mixed_features(spark, sf_dir))
+    """The features are written once: mean and deviation are read from them first, then all rows."""
+    scaled = scale(stored_frame(mixed_features(spark, sf_dir).select("line_number", *FEATURES), "features"))
     return scaled.select("line_number", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in FEATURES])
 
 
