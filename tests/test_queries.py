@@ -48,6 +48,17 @@ def test_alerts_meet_their_findings_by_a_shuffle(spark):
     assert "SortMergeJoin [anomaly_id" in text and "Generate" not in text
 
 
+@pytest.mark.parametrize("name", ["scale", "union_findings", "by_type"])
+def test_lines_are_parsed_once(spark, name):
+    """What reads entries or features more than once reads them written."""
+    assert "inline(array(struct(_doc" not in plan(spark, name)
+
+
+def test_rotated_files_are_listed_once(spark):
+    text = plan(spark, "sink_jsonl_rotated")
+    assert "FileScan text" in text and "FileScan json" not in text
+
+
 def test_every_written_folder_is_read(spark):
     good, note = compare(spark, SMALL, "read_many")
     assert good, note
