@@ -992,13 +992,14 @@ ROTATE_AT = 100_000
 def sink_jsonl_rotated(spark, sf_dir):
     """All events in files of 100,000 bytes and a line at most; but for the last, none has less."""
     path = stored(access_events(spark, sf_dir), "events", lambda df, p: sinks.sink_jsonl(df, p, max_bytes=ROTATE_AT))
-    size = F.octet_length("value") + 1
-    files = spark.read.text(path).withColumn("file", F.input_file_name()).groupBy("part").agg(
+    lines, size = spark.read.text(path), F.octet_length("value") + 1  # the many folders are listed once
+    files = lines.withColumn("file", F.input_file_name()).groupBy("part").agg(
         F.sum(size).alias("bytes"), F.max(size).alias("longest"), F.count_distinct("file").alias("files"))
     whole = files.withColumn("last", F.col("part") == F.max("part").over(W.partitionBy())).agg(
         F.bool_and((F.col("bytes") <= ROTATE_AT + F.col("longest")) & (F.col("files") == 1)).alias("files_are_bounded"),
         F.bool_and((F.col("bytes") > ROTATE_AT - F.col("longest")) | F.col("last")).alias("files_are_full"))
-    counted = spark.read.schema("event_type string, severity string").json(path).groupBy("event_type", "severity").agg(F.count(F.lit(1)).alias("events"))
+    events = lines.select(F.from_json("value", "event_type string, severity string").alias("e")).select("e.*")
+    counted = events.groupBy("event_type", "severity").agg(F.count(F.lit(1)).alias("events"))
     return counted.join(F.broadcast(whole), F.lit(True))
 
 
