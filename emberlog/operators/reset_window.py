@@ -61,6 +61,8 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 _LIST = pa.list_(pa.int64())
 _CHUNK_TYPES = [_LIST, _LIST, pa.int64(), _LIST, pa.int64()]
 READY = 4096
+#: Rows of an address that one task walks; an address with more is taken apart.
+ADDRESS_ROWS = 1 << 16
 
 
 class _Scan:
@@ -241,6 +243,67 @@ def reset_window(rows: DataFrame, *, window_us: int, threshold: int, order: str
     return fires.unionByName(held)
 
 
+def crowded_addresses(rows: DataFrame, most: int = ADDRESS_ROWS) -> DataFrame:
+    """(``source_ip``): addresses with more rows than one task should walk; there are no more of them than rows / ``most``."""
+    return rows.filter("source_ip is not null").groupBy("source_ip").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("source_ip")
+
+
+def walk_addresses(rows: DataFrame, *, window_us: int, threshold: int, order: str = "file", payload: list[str] | None = None,
+                   entering: DataFrame | None = None) -> DataFrame:
+    """What ``reset_window`` gives, with all rows of an address read in order by one task, which holds its held times only.
+
+    Cutting an address into blocks pays for crowded ones. Most have so few rows that nearly every row would be a block, and
+    a row costs some fifty times more as a block than as a row.
+    """
+    payload, keys = payload or [], order_of(order, window_us, BLOCK_LINES).keys
+    names = list(dict.fromkeys(["source_ip", "t", "log_file", "line_number", *payload]))
+    base = rows.select(names).filter("source_ip is not null")
+    kinds, out = dict(base.dtypes), names[1:]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, like = None, [], None
+
+        def told(kind: str, ips: pa.Array, counts: list[int], rest: list[pa.Array], times: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [ips, pa.array([kind] * len(ips)), pa.array(counts, pa.int64()), *rest, pa.array(times, _LIST)], ["source_ip", "kind", "count", *out, "times"])
+
+        def left(ended: list[tuple[str, list[int]]]) -> pa.RecordBatch:
+            return told("held", pa.array([ip for ip, _ in ended], like.field("source_ip").type), [len(times) for _, times in ended],
+                        [pa.nulls(len(ended), like.field(c).type) for c in out], [times for _, times in ended])
+
+        for batch in batches:
+            like = batch.schema
+            ips, states, kind, ts = _columns(batch, ["source_ip", "held", "kind", "t"])
+            fired, ended, at = [], [], 0
+            while at < len(ips):
+                if ips[at] != key:
+                    if held:
+                        ended.append((key, held))
+                    key, held = ips[at], []
+                if kind[at] == STATE:
+                    held, at = list(states[at] or []), at + 1
+                    continue
+                end = at + 1
+                while end < len(ips) and ips[end] == key:
+                    end += 1
+                found, held = reset_scan.run(held, ts[at:end], window_us, threshold)
+                fired += [at + f for f in found]
+                at = end
+            if fired:
+                rows_of = batch.take(pa.array(fired))
+                yield told("fire", rows_of.column("source_ip"), [threshold] * len(fired), [rows_of.column(c) for c in out], [None] * len(fired))
+            if ended:
+                yield left(ended)
+        if held:
+            yield left([(key, held)])
+
+    every = base.select("source_ip", F.lit(ROW).alias("kind"), F.lit(None).cast("array<bigint>").alias("held"), *out)
+    if entering is not None:
+        every = every.union(entering.select("source_ip", F.lit(STATE), "held", *[F.lit(None).cast(kinds[c]) for c in out]))
+    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in out)
+    return _grouped(every, ["source_ip"], ["kind", *keys], work, f"source_ip {kinds['source_ip']}, kind string, count bigint, {ddl}, times array<bigint>")
+
+
 def held_after_files(rows: DataFrame, files: DataFrame, *, window_us: int, threshold: int, at_least: int = 1, block_lines: int = BLOCK_LINES) -> DataFrame:
     """(``log_file``, ``source_ip``, ``count``): what each address holds when the last line of each of the ``files`` has been read.
 

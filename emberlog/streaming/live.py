@@ -18,7 +18,7 @@ from emberlog.functions.stamps import micros
 from emberlog.operators.findings import stamp_literal, union_findings
 from emberlog.operators.parse import parse_logs
 from emberlog.operators.rates import SECOND, api_findings, api_requests, brute_force_findings, ddos_findings, failed_logins, web_requests
-from emberlog.operators.reset_window import reset_window
+from emberlog.operators.reset_window import ADDRESS_ROWS, crowded_addresses, reset_window, walk_addresses
 from emberlog.operators.signatures import (
     detect_off_hours, detect_sensitive_data, detect_signatures, detect_unauthorized)
 from emberlog.sources import growing
@@ -104,8 +104,10 @@ class LiveRun:
     * ``entries``: the parsed lines, with ``late``: whether the line's own stamp is more than ``late`` older than the
       newest stamp of the batches before. Late lines are kept and counted; no rule judges them.
     * ``events/<rule>``: fires of the batch, and what each address holds at its end. The next batch starts from there, so a
-      rule runs over a batch as over a stored table, with rows of one address spread over tasks. Addresses whose
-      rows are out of reach of every line that may still come hold nothing any more.
+      rule runs over a batch as over a stored table. Addresses whose rows are out of reach of every line that may still
+      come hold nothing any more.
+    * ``crowded/<rule>``: addresses with so many rows in the batch that these are spread over tasks; the others are walked by
+      one task each.
     * ``findings``: all findings of the batch; ``minutes``: counts by minute, as rows that add up.
     * ``progress``: newest stamp, lines read, lines judged and lines that came late.
 
@@ -114,9 +116,9 @@ class LiveRun:
     """
 
     def __init__(self, folder: str, rules: list[LiveRule], *, default_year: int, ingest_ts: datetime | str, late_seconds: int, single_line: bool = True,
-                 sinks: SinkList | None = None):
+                 sinks: SinkList | None = None, address_rows: int = ADDRESS_ROWS):
         self.folder, self.rules, self.default_year, self.ingest_ts = folder, rules, default_year, ingest_ts
-        self.late_us, self.single_line, self.sinks = late_seconds * SECOND, single_line, sinks
+        self.late_us, self.single_line, self.sinks, self.address_rows = late_seconds * SECOND, single_line, sinks, address_rows
 
     def path(self, table: str, batch: int | None = None) -> str:
         return os.path.join(self.folder, table, *([f"batch={batch}"] if batch is not None else []))
@@ -167,8 +169,13 @@ class LiveRun:
             if newest is not None:  # older times are out of reach of every line that this batch judges
                 undated = int(datetime.fromisoformat(str(self.ingest_ts)).replace(tzinfo=timezone.utc).timestamp() * SECOND)
                 held = held.filter(F.array_max("held") + rule.window_us >= min(newest - self.late_us, undated))
-        return reset_window(rule.rows(judged, ingest_ts=self.ingest_ts), window_us=rule.window_us, threshold=rule.threshold, order="event_time",
-                            payload=rule.payload, entering=held)
+        rows = rule.rows(judged, ingest_ts=self.ingest_ts)
+        how = {"window_us": rule.window_us, "threshold": rule.threshold, "order": "event_time", "payload": rule.payload}
+        crowded = self._put(crowded_addresses(rows, self.address_rows), f"crowded/{rule.name}", batch)
+        if crowded.isEmpty():
+            return walk_addresses(rows, entering=held, **how)
+        few, many = ([None if df is None else df.join(crowded, "source_ip", kind) for df in (rows, held)] for kind in ("left_anti", "left_semi"))
+        return walk_addresses(few[0], entering=few[1], **how).unionByName(reset_window(many[0], entering=many[1], **how))
 
     def start(self, lines: DataFrame, *, checkpoint: str, every: str = "1 second") -> DataStreamWriter:
         """The writer of a stream of ``log_file``, ``line_number``, ``raw_line``; ``start()`` runs it."""

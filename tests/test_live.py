@@ -8,6 +8,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from emberlog.operators.findings import as_findings
 from emberlog.operators.parse import parse_logs
+from emberlog.operators.rates import web_requests
+from emberlog.operators.reset_window import reset_window
 from emberlog.session import scratch_dir
 from emberlog.sources import sinks
 from emberlog.streaming import live
@@ -180,3 +182,34 @@ def test_stored_findings_are_pruned_by_day(spark):
     assert "PartitionFilters: [isnotnull(event_date" in plan
     files = spark.read.parquet(path).select("event_date", F.input_file_name().alias("f")).distinct().groupBy("event_date").count()
     assert files.agg(F.max("count")).first()[0] == 1
+
+
+@pytest.mark.parametrize("address_rows", [0, 7, 10 ** 6])
+def test_crowded_and_other_addresses_give_what_a_scan_gives(spark, address_rows):
+    """Addresses walked by one task, spread over tasks, or some of each: the same fires and the same held times in all batches."""
+    rows = lambda lines: spark.createDataFrame([("a.log", i, t) for i, t in enumerate(lines)], "log_file string, line_number bigint, raw_line string")
+    batch = lambda n: [WEB % (1 + i % 4 * (i % 3), (10 * n + i // 6) % 60, i * 7 % 60, i) for i in range(48)] + ["[x] [error] [client 10.0.0.3] undated"] * 2
+    run = live_run(spark, [live.ddos_rule(requests=4, window_seconds=45)], address_rows=address_rows)
+    for number in range(3):
+        lines = rows(batch(number) if number < 2 else batch(number)[:1])
+        run.take(lines, number)
+        entries = run.table(spark, "entries").filter(F.col("batch") == number).drop("batch", "late")
+        before = None if number == 0 else run.table(spark, "events/ddos").filter((F.col("batch") == number - 1) & (F.col("kind") == "held")).select("source_ip", F.col("times").alias("held"))
+        scan = reset_window(web_requests(entries, ingest_ts=NOW), window_us=45_000_000, threshold=4, order="event_time", entering=before)
+        told = lambda df: sorted(map(str, df.select("source_ip", "kind", "count", "t", "log_file", "line_number", "times").collect()))
+        got, want = told(run.table(spark, "events/ddos").filter(F.col("batch") == number)), told(scan)
+        assert got == want and got
+    assert run.table(spark, "progress").agg(F.sum("n_late")).first()[0] == 0
+    assert run.table(spark, "findings").count() > 3
+    crowded = run.table(spark, "crowded/ddos").filter("batch = 0").count()
+    assert crowded == 0 if address_rows > 100 else crowded > 0
+
+
+def test_few_rows_of_an_address_are_no_blocks(spark):
+    """One exchange for the rows of addresses that one task can walk."""
+    run = live_run(spark, [live.ddos_rule(requests=3, window_seconds=3600)])
+    lines = spark.createDataFrame([("a.log", i, WEB % (1, i, 0, i)) for i in range(4)], "log_file string, line_number bigint, raw_line string")
+    run.take(lines, 0)
+    entries = run.table(spark, "entries").drop("late", "batch")
+    text = run._events(run.rules[0], entries, 1, None)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning") == 1
