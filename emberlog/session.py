@@ -40,6 +40,16 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of code up to which the JVM compiles a method; a longer one is interpreted for good.
+METHOD_BYTES = 8000
+
+
+def compiled_methods(spark: SparkSession) -> SparkSession:
+    """Let no stage run as one generated method that the JVM will not compile: the parse of a line is four times too long."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", METHOD_BYTES)
+    return spark
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder reliable checkpoints go to; shared storage on a cluster.
 

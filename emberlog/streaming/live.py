@@ -21,6 +21,7 @@ from emberlog.operators.rates import SECOND, api_findings, api_requests, brute_f
 from emberlog.operators.reset_window import ADDRESS_ROWS, crowded_addresses, reset_window, walk_addresses
 from emberlog.operators.signatures import (
     detect_off_hours, detect_sensitive_data, detect_signatures, detect_unauthorized)
+from emberlog.session import compiled_methods
 from emberlog.sources import growing
 from emberlog.sources.files import clean_line
 from emberlog.sources.sinks import SinkList
@@ -139,7 +140,7 @@ class LiveRun:
 
     def take(self, lines: DataFrame, batch: int) -> None:
         """Judge one batch."""
-        spark = lines.sparkSession
+        spark = compiled_methods(lines.sparkSession)
         newest = self.newest(spark, batch)
         entries = parse_logs(lines, default_year=self.default_year)
         stamp = micros(F.col("ts"))

@@ -206,10 +206,11 @@ def test_crowded_and_other_addresses_give_what_a_scan_gives(spark, address_rows)
 
 
 def test_few_rows_of_an_address_are_no_blocks(spark):
-    """One exchange for the rows of addresses that one task can walk."""
+    """One exchange for the rows of addresses that one task can walk, and no stage whose code the JVM would not compile."""
     run = live_run(spark, [live.ddos_rule(requests=3, window_seconds=3600)])
     lines = spark.createDataFrame([("a.log", i, WEB % (1, i, 0, i)) for i in range(4)], "log_file string, line_number bigint, raw_line string")
     run.take(lines, 0)
     entries = run.table(spark, "entries").drop("late", "batch")
     text = run._events(run.rules[0], entries, 1, None)._jdf.queryExecution().executedPlan().toString()
     assert text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning") == 1
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
