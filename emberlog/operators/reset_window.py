@@ -252,8 +252,7 @@ def walk_addresses(rows: DataFrame, *, window_us: int, threshold: int, order: st
                    entering: DataFrame | None = None) -> DataFrame:
     """What ``reset_window`` gives, with all rows of an address read in order by one task, which holds its held times only.
 
-    Cutting an address into blocks pays for crowded ones. Most have so few rows that nearly every row would be a block, and
-    a row costs some fifty times more as a block than as a row.
+    Cutting an address into blocks pays for crowded ones. Most have so few rows that nearly every row would be a block.
     """
     payload, keys = payload or [], order_of(order, window_us, BLOCK_LINES).keys
     names = list(dict.fromkeys(["source_ip", "t", "log_file", "line_number", *payload]))
